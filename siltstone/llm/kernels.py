@@ -11,7 +11,7 @@ import numpy as np
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = int(_rng.integers(1, 2**62)) * 8 + 5
+_BASE = int(_rng.integers(1, 2**60)) * 8 + 5
 _INV = pow(_BASE, -1, 1 << 64)
 _SEQ = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _powers: dict[int, np.ndarray] = {}
@@ -40,7 +40,7 @@ def powers(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(1 << 12, 1 << (n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
+        have = np.full(size, _U(base), np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
         _powers.clear() if len(_powers) > 3 else None

@@ -133,6 +133,15 @@ def _held(x: np.ndarray, rule: list[tuple[int, str, float]]) -> np.ndarray:
     return out
 
 
+def _centred(rule: list[tuple[int, str, float]], x: np.ndarray, bad: np.ndarray) -> list[tuple[int, str, float]]:
+    """Moves each threshold half way to the nearest low-quality row that the rule covers."""
+    on, out = _held(x, rule) & bad, []
+    for f, op, limit in rule:
+        near = x[on, f].min() if op == ">" else x[on, f].max()
+        out.append((f, op, float((limit + near) / 2)))
+    return out
+
+
 def learn(x: np.ndarray, bad: np.ndarray) -> DecisionList:
     """Sequential covering with reduced-error pruning. Rows must come in an order that is fixed."""
     names, rules = list(FEATURES), []
@@ -163,7 +172,9 @@ def learn(x: np.ndarray, bad: np.ndarray) -> DecisionList:
         on = _held(px, rule)
         if on.sum() < SUPPORT // 2 or py[on].mean() < PRECISION or gy[_held(gx, rule)].mean() < PRECISION:
             break
-        rules.append(rule)
+        rules.append(_centred(rule, gx, gy))
+        rule = rules[-1]
+        on = _held(px, rule)
         gx, gy, px, py = gx[~(r := _held(gx, rule))], gy[~r], px[~on], py[~on]
     return DecisionList([[(names[f], op, limit) for f, op, limit in r] for r in rules])
 
