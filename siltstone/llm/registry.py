@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import decontaminate, minhash, quality_rules
 
 QUERIES = {
+    "op3_minhash": minhash.op3_minhash,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
