@@ -9,11 +9,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; a longer single text is handled alone.
 SLICE_BYTES = 1 << 21
 #: Rows of one Arrow batch between the JVM and Python.
 BATCH_ROWS = 1000
+#: Ids that may be broadcast; more are joined by a shuffle.
+IDS_SENT = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +57,13 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in `ids` (a written table with the column doc_id); null stays."""
+    gone = ids.select(F.col("doc_id").alias("__gone")).distinct()
+    gone = F.broadcast(gone) if ids.count() <= IDS_SENT else gone
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the n+1 offsets between them; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -212,5 +212,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return best.select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.f")).alias("first_word"), F.col("b.last_word").alias("last_word"))
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs into which no test item leaks."""
+    return C.without(docs, C.Scratch(docs.sparkSession, "leaks").save(leaks(docs, benchmark).select("doc_id").distinct(), "leaks"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))

@@ -201,6 +201,20 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judge(counts, fit(counts, labels))
 
 
+def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that the rules keep; texts are not shuffled."""
+    counts = C.Scratch(docs.sparkSession, "rules").save(statistics(docs), "counts")
+    rules = fit(counts, labels)
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = count_batch(batch)
+        return C.record(row=batch.column("row"), **{c: found.column(c) for c in COUNTS})
+
+    kind = row.schema["row"].dataType.simpleString()
+    return judge(C.arrow_map(row, work, f"row {kind}, " + ", ".join(f"{c} long" for c in COUNTS)), rules).where("kept").select("row.*")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judged(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
     return out.select("doc_id", *COUNTS[:5], "base_failed", "kept", "rule")
