@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, quality_rules
+from . import decontaminate, html_extract, language, minhash, packing, quality_rules, secrets, substrings
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
+    "op2_packing": packing.op2_packing,
     "op3_minhash": minhash.op3_minhash,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_language": language.op7_language,
+    "op8_html": html_extract.op8_html,
+    "op9_substrings": substrings.op9_substrings,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
