@@ -4,10 +4,11 @@ Each of `PERMUTATIONS` hash functions gives both the least and the greatest valu
 that half as many hash evaluations fill a signature. Signatures are banded; texts that share a band are
 candidates, and a link is confirmed on the two full shingle sets, in the JVM.
 
-Groups stay linear: texts with equal sets become one class first (a partial aggregate, no shuffle of texts);
-inside a band's bucket the members are compared with one pivot at a time, never all with all, and after each
-round only buckets that still hold several components go on. When few such buckets remain, their members of
-different components are compared in full, so that no candidate pair across components is left unchecked.
+Texts with equal sets become one class first (a partial aggregate, no shuffle of texts). The members of a band's
+bucket are then compared with one pivot, the member that most others share buckets with. Only in groups whose
+members are in several components after that, members are compared with each other: in blocks, by the differences
+of their sets from the pivot's, from which the full sets' similarity follows exactly. No pairs are emitted, only
+links that join components, so that no link between candidates is lost and no group lands in one task.
 
 Null or empty texts have no shingles and link with nothing. Rows with a null doc_id link with nothing, get a
 null component and are kept. Rows that share a doc_id count as one document for links. Ties: the least doc_id
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,8 @@ from . import kernels as K
 
 PERMUTATIONS, ROWS = 48, 4
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Rounds of comparison with a pivot before members of different components are compared in full.
-PIVOT_ROUNDS = 3
+#: Members, and elements of their differences from the pivot, that one unit of comparison holds; columns of one matrix product.
+BLOCK, ELEMENTS, COLUMNS = 1024, 2_000_000, 2048
 #: Bits of the filter that spares building sets for texts without candidates; its size is fixed, and rows that pass by chance are removed by a join.
 FILTER_BITS = 1 << 24
 
@@ -117,60 +119,151 @@ def components(edges: DataFrame, scratch: C.Scratch, tag: str) -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("comp"))
 
 
+def _sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (p, x) with both shingle sets; the set of a hot p stays with its side of the join."""
+    p = sets.select(F.col("rep").alias("p"), F.col("shingles").alias("sp"))
+    x = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("sx"))
+    return pairs.join(x, "x").join(p, "p")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b and linked for each pair, by the full sets. Sets of a hot pivot stay with its side of the join."""
-    a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(b, "b").join(a, "a").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    linked = F.expr(f"100 * common >= {int(percent)} * (size(sa) + size(sb) - common)")
-    return both.select("a", "b", linked.alias("linked"))
+    """The pairs (p, x) whose full sets have a Jaccard similarity of percent or more."""
+    both = _sides(pairs, sets).withColumn("common", F.size(F.array_intersect("sp", "sx")).cast("long"))
+    return both.where(f"100 * common >= {int(percent)} * (size(sp) + size(sx) - common)").select("p", "x")
+
+
+def _compare_block(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links that join components. rows: (x, n, comp, side, diff); sides 0 and 1 are compared with each other, 2 with all.
+
+    With D = the difference of a member's set from the pivot's, |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|, so that the full
+    sets' similarity follows exactly from the differences.
+    """
+    names = {}
+    root = [names.setdefault(r[2], len(names)) for r in rows]
+    parent = list(range(len(names)))
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    size = np.array([r[1] for r in rows], np.int64)
+    side = np.array([r[3] for r in rows])
+    many = np.array([len(r[4]) for r in rows], np.int64)
+    flat = np.concatenate([np.asarray(r[4], np.int64) for r in rows])
+    owner = np.repeat(np.arange(len(rows)), many)
+    _, code, often = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = often[code] > 1
+    owner, (_, code) = owner[shared], np.unique(code[shared], return_inverse=True)
+    common = np.zeros((len(rows), len(rows)), np.float32)
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    last = int(code[-1]) + 1 if len(code) else 0
+    for first in range(0, last, COLUMNS):
+        a, b = np.searchsorted(code, [first, first + COLUMNS])
+        part = np.zeros((len(rows), min(COLUMNS, last - first)), np.float32)
+        part[owner[a:b], code[a:b] - first] = 1
+        common += part @ part.T
+    apart = many[:, None] + many[None, :] - 2 * common.astype(np.int64)
+    total = size[:, None] + size[None, :]
+    inside = (total - apart) // 2
+    linked = 100 * inside >= percent * (total - inside)
+    linked &= (side[:, None] != side[None, :]) | (side[:, None] == 2)
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        if (u := find(root[i])) != (v := find(root[j])):
+            parent[u] = v
+            out.append((rows[i][0], rows[j][0]))
+    return out
+
+
+def compared(groups: DataFrame, percent: int) -> DataFrame:
+    """Links (hi, lo) between members of different components in a pivot's group.
+
+    groups: p, x, n, comp, diff. A group with more than `BLOCK` members or `ELEMENTS` elements is cut into blocks, and
+    each pair of blocks is a unit of its own. Units give the links that join components, not pairs.
+    """
+    sizes = groups.groupBy("p").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("diff").cast("long")) / ELEMENTS)).alias("blocks"))
+    rows = groups.join(sizes, "p").withColumn("at", F.pmod(F.xxhash64("x"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("p", "x", "n", "comp", "diff", "at", other)
+    rows = rows.selectExpr("p", "least(at, other) AS i", "greatest(at, other) AS j", "x", "n", "comp", "CASE WHEN at = other THEN 2 WHEN at < other THEN 0 ELSE 1 END AS side", "diff")
+
+    def run(batches):
+        held: list[tuple] = []
+        unit, out = None, []
+
+        def flush() -> None:
+            if len(held) > 1:
+                out.extend(_compare_block(held, percent))
+            held.clear()
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("p", "i", "j", "x", "n", "comp", "side")]
+            diffs = batch.column("diff")
+            flat, at = diffs.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(diffs).to_numpy())])
+            for k, (p, i, j, *rest) in enumerate(zip(*columns, strict=True)):
+                if (p, i, j) != unit:
+                    flush()
+                    unit = (p, i, j)
+                held.append((*rest, flat[at[k] : at[k + 1]]))
+        flush()
+        if out:
+            hi, lo = zip(*((max(u, v), min(u, v)) for u, v in out), strict=True)
+            yield C.record(hi=pa.array(hi, pa.int64()), lo=pa.array(lo, pa.int64()))
+
+    return rows.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(run, "hi long, lo long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row; links have Jaccard similarity of percent or more."""
-    spark = docs.sparkSession
+    spark, percent = docs.sparkSession, int(percent)
     scratch = C.Scratch(spark, "minhash")
     signed = scratch.save(signatures(docs, words), "signed")
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     classes = scratch.save(classes, "classes")
     rows = signed.join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]).where("doc_id = rep")
     keys = rows.select("rep", "n", F.explode("bands").alias("key"))
-    crowded = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
-    members = scratch.save(keys.join(crowded, "key").select("key", "rep", "n"), "members")
-    wanted = scratch.save(members.select("rep").distinct(), "wanted")
-    sets = scratch.save(shingle_sets(docs, wanted, words), "sets")
-
-    comps = spark.createDataFrame([], "node long, comp long")
-    edges, tested, open_ = None, None, members.select("key", "rep", "n", F.col("rep").alias("comp"))
-    for k in range(PIVOT_ROUNDS + 1):
-        if k < PIVOT_ROUNDS:  # a pivot for each bucket, another one in each round
-            order = F.col("rep") if k == 0 else F.xxhash64("rep", F.lit(k))
-            pivot = open_.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n", "comp")).alias("p"))
-            pairs = open_.join(pivot, "key").select(F.col("p.rep").alias("x"), F.col("p.n").alias("nx"), F.col("p.comp").alias("cx"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-        else:  # all members of different components
-            other = open_.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-            pairs = open_.select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx")).join(other, "key").where("cx < cy")
-        pairs = pairs.where(f"cx <> cy AND 100 * least(nx, ny) >= {int(percent)} * greatest(nx, ny)")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        answer = scratch.save(confirmed(pairs, sets, percent), f"answer{k}")
-        tested = answer if tested is None else tested.union(answer)
-        found = answer.where("linked").select(F.col("b").alias("hi"), F.col("a").alias("lo"))
-        edges = found if edges is None else edges.union(found)
-        comps = components(edges, scratch, f"comps{k}")
-        if k == PIVOT_ROUNDS:
-            break
-        placed = members.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-        several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        open_ = scratch.save(placed.join(several, "key").select("key", "rep", "n", "comp"), f"open{k}")
-        if open_.isEmpty():
-            break
+    crowded = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key", "c")
+    members = scratch.save(keys.join(crowded, "key").select("key", "rep", "n", "c"), "members")
+    # the pivot of a bucket is its member that shares most buckets with most others: the text that copies were made of
+    central = scratch.save(members.groupBy("rep").agg(F.sum("c").alias("score")), "central")
+    pivots = members.join(central, "rep").groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("r"), "n")).alias("v"))
+    groups = members.select("key", F.col("rep").alias("x"), "n").join(pivots.select("key", (-F.col("v.r")).alias("p"), F.col("v.n").alias("np")), "key")
+    groups = scratch.save(groups.where("p <> x").select("p", "np", "x", "n").distinct(), "groups")
+    sets = scratch.save(shingle_sets(docs, central.select("rep"), words), "sets")
+
+    alike = groups.where(f"100 * least(n, np) >= {percent} * greatest(n, np)").select("p", "x")
+    links = scratch.save(confirmed(alike, sets, percent).select(F.col("x").alias("hi"), F.col("p").alias("lo")), "links")
+    comps = components(links, scratch, "stars")
+    # groups whose members are of several components: all of these are compared with each other
+    placed = groups.join(comps, F.col("x") == F.col("node"), "left").select("p", "x", "n", F.coalesce("comp", "x").alias("comp"))
+    placed = scratch.save(placed, "placed")
+    several = placed.groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("p")
+    open_ = scratch.save(placed.join(several, "p").select("p", "x", "n", "comp"), "open")
+    if not open_.isEmpty():
+        diff = F.concat(F.array_except("sp", "sx"), F.array_except("sx", "sp"))
+        more = scratch.save(compared(_sides(open_, sets).select("p", "x", "n", "comp", diff.alias("diff")), percent), "more")
+        comps = components(links.union(more), scratch, "all")
+    scratch.drop("members", "central", "groups", "sets", "placed", "open")
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stand for their group. Of rows that share a doc_id one stays; null doc_ids all stay."""
+    scratch = C.Scratch(docs.sparkSession, "one")
+    judged = scratch.save(near_duplicates(docs, words, percent).select("doc_id", "kept"), "judged")
+    kept = C.without(docs, judged.where("NOT kept").select("doc_id"))
+    twice = scratch.save(judged.where("doc_id IS NOT NULL AND kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice.withColumnRenamed("doc_id", "__twice"), kept["doc_id"].cast("long") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"])
+    return C.without(kept, twice).unionByName(once)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.table(spark, sf_dir, "documents"), words=3, percent=85)
