@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language, minhash, packing, pii, quality_rules, secrets, substrings
+from . import decontaminate, html_extract, language, minhash, packing, pii, quality_model, quality_rules, secrets, substrings
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_packing": packing.op2_packing,
     "op3_minhash": minhash.op3_minhash,
+    "op4_quality_model": quality_model.op4_quality_model,
     "op5_pii": pii.op5_pii,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_language": language.op7_language,
