@@ -174,5 +174,5 @@ def snippet(text: Column | str, title: Column | None = None, limit: int = 600) -
 
 def listed(terms: Column, most: int = 6, none: str = "(no matching word)") -> Column:
     """The first terms (structs of term and score) as "term (score), ..."."""
-    shown = F.transform(F.slice(terms, 1, most), lambda t: F.concat(t["term"], F.lit(" ("), F.format_number(t["score"], "0.####"), F.lit(")")))
+    shown = F.transform(F.slice(terms, 1, most), lambda t: F.concat(t["term"], F.lit(" ("), F.call_function("format_number", t["score"], F.lit("0.####")), F.lit(")")))
     return F.when(F.size(terms) == 0, F.lit(none)).otherwise(F.array_join(shown, ", "))
