@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 Words are lower-cased (A-Z) runs between white space and ASCII marks. A first pass over all documents counts
-in how many of them each `SEED`-word gram of the test items occurs; an item's rarer half of grams (`LEAST` at
-least, ties by place) are its seeds. Rarity is relative to the item, so an item that was copied into a third of
-the corpus keeps its seeds. A second pass joins the seeds with the documents and aligns the item with the
+in how many of them each `SEED`-word gram of the test items occurs. An item's seeds are its grams in at most `RARE`
+documents or `SPREAD` times the item's median, and its `LEAST` rarest ones in any case (ties by place). Rarity is
+relative to the item, so an item that was copied into a third of the corpus keeps its seeds, and edited copies, which
+lack some of its grams, are met by the others. A second pass joins the seeds with the documents and aligns the item with the
 words about each hit: match +2, mismatch and gap -1; the score is the best local alignment's share of 2 times
 the item's length. A pair leaks if its score is `SCORE` or more; items under `SHORT` words must align wholly.
 
@@ -25,6 +26,7 @@ from . import common as C
 from . import kernels as K
 
 SEED, LEAST, SCORE, SHORT = 3, 8, 0.5, 8
+RARE, SPREAD = 1_000, 8
 BLOCK_CHARS = 8_000_000
 SCHEMA = "doc_id long, item_id long, score double, first_word long, last_word long"
 _SMALL = (1 << 20) - 1
@@ -45,12 +47,15 @@ class Items:
         self.grams, self.gram = np.unique(gram, return_inverse=True)
 
     def seeds(self, found: dict[int, int]) -> Seeds:
-        """The rarer half of each item's grams; found: documents by gram."""
+        """Each item's rare grams; found: documents by gram."""
         often = np.array([found.get(k, 0) for k in range(len(self.grams))], np.int64)[self.gram]
         order = np.lexsort((self.at, often, self.of))
-        rank = np.arange(len(order)) - np.searchsorted(self.of[order], self.of[order])
-        size = np.bincount(self.of, minlength=len(self.ids))[self.of[order]]
-        keep = np.sort(order[rank < np.maximum(LEAST, (size + 1) // 2)])
+        of, often = self.of[order], often[order]
+        first = np.searchsorted(of, of)
+        rank = np.arange(len(order)) - first
+        size = np.bincount(of, minlength=len(self.ids))[of]
+        median = often[first + (size - 1) // 2]
+        keep = np.sort(order[(rank < LEAST) | (often <= np.maximum(RARE, SPREAD * median))])
         return Seeds(self, keep)
 
 
