@@ -64,14 +64,14 @@ def normalized(text: Column | str) -> Column:
 
 def words(text: Column | str) -> Column:
     """The words of the normal form, in order; an empty text has none."""
-    return F.filter(F.split(normalized(text), " "), lambda w: w != "")
+    return F.filter(F.split(F.lower(_of(text)), NOT_WORD), lambda w: w != "")
 
 
 def tokens(text: Column | str, stop: Iterable[str] = STOP_WORDS, segment=None) -> Column:
     """Words that are no stop words. `segment` (Column -> Column) may join compounds of the raw text first."""
-    found = words(segment(_of(text)) if segment else text)
-    stop = sorted(stop)
-    return F.filter(found, lambda w: ~w.isin(stop)) if stop else found
+    raw = segment(_of(text)) if segment else _of(text)
+    unwanted = ["", *sorted(stop)]
+    return F.filter(F.split(F.lower(raw), NOT_WORD), lambda w: ~w.isin(unwanted))
 
 
 def syllables(text: Column | str) -> Column:

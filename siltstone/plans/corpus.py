@@ -13,6 +13,11 @@ K1, B, DEPTH, TOP = 0.6, 0.9, 100, 10
 CHUNK_TOP = 100
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """A small result (a few rows a query) that plans use more than once: kept by the executors, made again if one is lost."""
+    return df.persist()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -39,7 +44,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rarest = ranking.first_per(terms.join(index.terms, "term"), ["query_id"], ["df", "term"])
     met = rarest.join(index.postings.select("term", "article_id"), "term").select("query_id", "article_id")
     rows = met.join(asked.withColumnRenamed("text", "asked"), "query_id").join(docs.select("article_id", "text"), "article_id")
-    return rows.where(F.col("text").contains(F.col("asked"))).select("query_id", "article_id")
+    return shared(rows.where(F.col("text").contains(F.col("asked"))).select("query_id", "article_id"))
 
 
 def answerable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,17 +53,17 @@ def answerable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_run(spark: SparkSession, sf_dir: str, k: int = DEPTH, k1: float = K1, b: float = B) -> DataFrame:
-    return sparse.search(queries(spark, sf_dir), articles(spark, sf_dir), k, k1, b)
+    return shared(sparse.search(queries(spark, sf_dir), articles(spark, sf_dir), k, k1, b))
 
 
 def folded_run(spark: SparkSession, sf_dir: str, k: int = DEPTH) -> DataFrame:
     plain = T.folded_syllables("text")
-    return sparse.search(queries(spark, sf_dir), articles(spark, sf_dir), k, K1, B, plain, plain)
+    return shared(sparse.search(queries(spark, sf_dir), articles(spark, sf_dir), k, K1, B, plain, plain))
 
 
 def syllable_run(spark: SparkSession, sf_dir: str, k: int = DEPTH) -> DataFrame:
     whole = T.syllables("text")
-    return sparse.search(queries(spark, sf_dir), articles(spark, sf_dir), k, K1, B, whole, whole)
+    return shared(sparse.search(queries(spark, sf_dir), articles(spark, sf_dir), k, K1, B, whole, whole))
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +80,4 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.nearest(vector_queries(spark, sf_dir), vectors(spark, sf_dir), CHUNK_TOP)
+    return shared(dense.nearest(vector_queries(spark, sf_dir), vectors(spark, sf_dir), CHUNK_TOP))
