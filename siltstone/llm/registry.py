@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language, minhash, packing, pii, quality_model, quality_rules, secrets, substrings
+from . import decontaminate, html_extract, language, minhash, packing, pii, quality_model, quality_rules, secrets, sql, substrings
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -16,4 +16,4 @@ QUERIES = {
     "op9_substrings": substrings.op9_substrings,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_minhash": sql.NEAR_DUPLICATES}
