@@ -11,7 +11,7 @@ The common prefixes of neighbours give for each window place x the classes of eq
 
 No group is unbounded in one task: equal texts are one class and equal contexts of an anchor one row (partial
 aggregates); a bucket with more than `BUCKET` different contexts is split by longer and longer parts of the
-windows (8 ranges of x, each keyed by the bytes that all its windows share), until each is small or
+windows (ranges of x, each keyed by the bytes that all its windows share), until each is small or
 decided. Texts are not shuffled, but for those that lose a part of their bytes; fixed-size bit filters spare
 work on others, and joins remove what passes by chance.
 
@@ -35,7 +35,8 @@ BACK = LENGTH - GRAM
 BUCKET = 2_000
 #: Keys of crowded buckets that are broadcast; more are joined by a shuffle.
 KEYS_SENT = 100_000
-SPLIT = 8
+#: Ranges that a crowded bucket's windows are split into.
+SPLIT = 4
 #: Bytes that multikey quicksort looks at before blind tries take over, and groups that it leaves to them at once.
 SHALLOW, FEW = 24, 4
 
@@ -351,7 +352,7 @@ def _keyed(value: bytes, mark: str) -> int:
 
 
 def _split(rows: DataFrame) -> DataFrame:
-    """For contexts of crowded buckets: keys of the parts that the windows of each of 8 ranges of x share (key) and span (digest)."""
+    """For contexts of crowded buckets: keys of the parts that the windows of each range of x share (key) and span (digest)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -388,13 +389,18 @@ def covered(found: DataFrame, scratch: C.Scratch) -> DataFrame:
         if not many:
             return out
         pieces = scratch.save(_split(rows.join(hint, "key")), f"pieces{level}")
-        same = pieces.groupBy("key", "whole", "full").agg(F.sum("times").alias("all"), F.min("digest").alias("one"))
-        pieces = pieces.join(same, ["key", "whole", "full"])
-        whole = pieces.where("full AND all > 1").selectExpr("gram", "digest", "-hi AS a", f"{LENGTH} - lo AS b")
-        out = out.union(scratch.save(whole, f"whole{level}"))
+        full = pieces.where("full").groupBy("key", "whole").agg(F.sum("times").alias("all"), F.min(F.struct("gram", "digest", "lo", "hi")).alias("one"))
+        full = scratch.save(full, f"full{level}")
+        whole = pieces.where("full").join(full.where("all > 1").select("key", "whole"), ["key", "whole"])
+        out = out.union(scratch.save(whole.selectExpr("gram", "digest", "-hi AS a", f"{LENGTH} - lo AS b"), f"whole{level}"))
         # of equal pieces one goes on, for others to be compared with; a shorter one (at an end of its text) goes on by itself
-        rest = pieces.where("digest = one OR NOT full").selectExpr("key", "gram", "digest", "IF(full, all, times) AS times", "lo", "hi")
-        rows = scratch.save(rest.join(different.select("gram", "digest", "left", "right"), ["gram", "digest"]), f"rows{level}")
+        rest = full.selectExpr("key", "one.gram", "one.digest", "all AS times", "one.lo", "one.hi", "false AS alone")
+        rest = rest.union(pieces.where("NOT full").selectExpr("key", "gram", "digest", "times", "lo", "hi", "times > 1 AS alone"))
+        # a piece that meets no other is decided
+        open_ = scratch.save(rest.groupBy("key").agg(F.count("*").alias("n"), F.max("alone").alias("alone")).where("n > 1 OR alone").select("key"), f"open{level}")
+        rows = rest.join(open_, "key").drop("alone").join(different.select("gram", "digest", "left", "right"), ["gram", "digest"])
+        rows = scratch.save(rows.select("key", "gram", "digest", "times", "left", "right", "lo", "hi"), f"rows{level}")
+        scratch.drop(f"pieces{level}", f"full{level}", f"open{level}", *([f"rows{level - 1}"] if level else []))
         level += 1
 
 
