@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,17 @@ def token_hash(token: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
+def blake_hash(token: Column) -> Column:
+    """64 bits of a token's BLAKE2b, big-endian, as a bigint; Spark has no such function, so this one runs in Python."""
+
+    @F.pandas_udf("long")
+    def hashed(tokens: pd.Series) -> pd.Series:
+        one = lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big", signed=True)
+        return tokens.map(lambda t: None if t is None else one(t)).astype("Int64")
+
+    return hashed(token)
+
+
 def simhash(hashed: Column) -> Column:
     """An aggregate: the 64-bit SimHash of a group's hashes. Bit b is set if more than half of them have it; none give 0.
 

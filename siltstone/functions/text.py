@@ -74,6 +74,24 @@ def tokens(text: Column | str, stop: Iterable[str] = STOP_WORDS, segment=None) -
     return F.filter(F.split(F.lower(raw), NOT_WORD), lambda w: ~w.isin(unwanted))
 
 
+def segmenter(compounds: Iterable[str]):
+    """A segmenter (Column -> Column) that joins known compounds by underscores, longer ones first, in any case.
+
+    For dictionaries of some hundred entries; a trained segmenter has the same form.
+    """
+    import re
+
+    known = sorted({tuple(c.split()) for c in compounds if len(c.split()) > 1}, key=lambda c: (-len(c), c))
+
+    def joined(text: Column) -> Column:
+        for compound in known:
+            pattern = r"(?iu)(?<![\p{L}\p{N}_])" + r"\s+".join(f"({re.escape(w)})" for w in compound) + r"(?![\p{L}\p{N}_])"
+            text = F.regexp_replace(text, pattern, "_".join(f"${k}" for k in range(1, len(compound) + 1)))
+        return text
+
+    return joined
+
+
 def syllables(text: Column | str) -> Column:
     """Word runs of the lower-cased text; stop words stay."""
     return F.regexp_extract_all(F.lower(_of(text)), F.lit(f"({WORD})"), 1)

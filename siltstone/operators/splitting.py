@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,15 @@ def split_queries(queries: DataFrame, ratio: float = VAL_RATIO, seed: int = SEED
     return rows.select("query_id", F.when(first, "val").otherwise("train").alias("split"))
 
 
+def shuffled_split(ids: Iterable[str], ratio: float = VAL_RATIO, seed: int = SEED) -> tuple[list[str], list[str]]:
+    """(train, val) of a list of ids that fits the driver, by a seeded shuffle of the sorted distinct ids; the first
+    round(n * ratio) are val. For results that must equal those of such a shuffle elsewhere."""
+    order = sorted(set(ids))
+    random.Random(seed).shuffle(order)
+    cut = round(len(order) * ratio)
+    return order[cut:], order[:cut]
+
+
 def without_overlap(train: DataFrame, test: DataFrame) -> DataFrame:
     """Both qrels in one table with split; train rows of queries that test has are dropped, test stays whole."""
     kept = train.join(test.select("query_id").distinct(), "query_id", "left_anti")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,3 +93,26 @@ def comparison(runs: dict[str, DataFrame], gold: DataFrame, queries: DataFrame,
         row = each.agg(*(F.round(F.avg(c), 4).alias(c) for c in columns)).withColumn("system", F.lit(name))
         out = row if out is None else out.union(row)
     return out.join(F.broadcast(facts), "system", "left") if facts is not None else out
+
+
+def side_by_side(runs: dict[str, DataFrame], k: int = 3) -> DataFrame:
+    """query_id, rank and for each system the article at that rank, null where it has none."""
+    out = None
+    for name, run in runs.items():
+        part = run.where(F.col("rank") <= k).select("query_id", "rank", F.col("article_id").alias(name))
+        out = part if out is None else out.join(part, ["query_id", "rank"], "full_outer")
+    return out
+
+
+def latency(search: Callable[[str], object], texts: Sequence[str], most: int = 60) -> dict[str, float]:
+    """p50_ms and p95_ms of a search that is called for one query after the other, after one call to warm up."""
+    some = list(texts)[:most]
+    if not some:
+        return {"p50_ms": 0.0, "p95_ms": 0.0}
+    search(some[0])
+    took = []
+    for text in some:
+        began = time.perf_counter()
+        search(text)
+        took.append(1000 * (time.perf_counter() - began))
+    return {"p50_ms": float(np.percentile(took, 50)), "p95_ms": float(np.percentile(took, 95))}

@@ -354,6 +354,14 @@ def pooling_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.recall_at(runs, gold, gold, 1, ("pooling",))
 
 
+@query(f"""WITH {_BOTH}, f AS (SELECT query_id, rank, article_id AS folded FROM plain WHERE rank <= 3)
+    SELECT query_id, rank, article_id AS bm25, folded FROM (SELECT * FROM word WHERE rank <= 3) FULL JOIN f USING (query_id, rank)""")
+def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best articles of two systems."""
+    a, b = _pair(spark, sf_dir)
+    return tuning.side_by_side({"bm25": a, "folded": b})
+
+
 # --- metrics ------------------------------------------------------------------------------------------------
 
 

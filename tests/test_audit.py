@@ -108,6 +108,13 @@ def test_split(spark):
     assert sum(v == "val" for v in split(ids.limit(5), ratio=0.5).values()) == 2
 
 
+def test_shuffled_split():
+    train, val = splitting.shuffled_split([f"q{k}" for k in range(100)] * 2)
+    assert len(val) == 20 and sorted(train + val) == sorted(f"q{k}" for k in range(100))
+    assert (train, val) == splitting.shuffled_split(reversed([f"q{k}" for k in range(100)]))
+    assert splitting.shuffled_split([]) == ([], [])
+
+
 def test_overlap_is_taken_from_train(spark):
     rows = lambda *r: spark.createDataFrame(list(r), "query_id string, article_id string")
     got = {(r.query_id, r.article_id, r.split) for r in splitting.without_overlap(rows(("q", "a"), ("r", "b")), rows(("q", "c"))).collect()}

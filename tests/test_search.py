@@ -211,6 +211,13 @@ def test_selection(spark):
     assert tuning.pooling_of(pools, "other").first().pooling == "max"
 
 
+def test_latency_and_side_by_side(spark):
+    found = tuning.latency(len, ["a", "b"])
+    assert 0 <= found["p50_ms"] <= found["p95_ms"] and tuning.latency(len, []) == {"p50_ms": 0.0, "p95_ms": 0.0}
+    rows = tuning.side_by_side({"x": run(spark, ("q", "a", 1.0, 1)), "y": run(spark, ("q", "b", 1.0, 1), ("q", "c", 1.0, 2))})
+    assert {tuple(r) for r in rows.collect()} == {("q", 1, "a", "b"), ("q", 2, None, "c")}
+
+
 def test_failures_and_causes(spark):
     gold = spark.createDataFrame([("q0", "a"), ("q1", "b")], "query_id string, article_id string")
     titles = spark.createDataFrame([(x, x.upper()) for x in "abc"], "article_id string, title string")

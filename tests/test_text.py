@@ -35,6 +35,18 @@ def test_tokens_drop_stop_words_and_keep_the_rest(spark):
     assert one(spark, " ", T.tokens("s")) == []
 
 
+def test_segmenter(spark):
+    join = T.segmenter(["nhà nước", "nhà nước pháp quyền", "bị"])
+    assert one(spark, "Nhà nước pháp quyền, nhà  nước; nhà nướcx", join(F.col("s"))) == "Nhà_nước_pháp_quyền, nhà_nước; nhà nướcx"
+
+
+def test_blake_hash(spark):
+    import hashlib
+
+    want = int.from_bytes(hashlib.blake2b("từ".encode(), digest_size=8).digest(), "big", signed=True)
+    assert one(spark, "từ", H.blake_hash(F.col("s"))) == want and one(spark, None, H.blake_hash(F.col("s"))) is None
+
+
 def test_ngrams(spark):
     words = T.words("s")
     assert one(spark, "a b c d", T.ngrams(words, 2)) == ["a b", "b c", "c d"]
