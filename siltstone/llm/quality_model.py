@@ -171,15 +171,23 @@ class Table:
 class Shard:
     """The part of the model for contexts whose last two bytes fall into `number` of `shards`."""
 
-    def __init__(self, rows, number: int, shards: int):
+    def __init__(self, rows: pa.Table, number: int, shards: int):
         self.number, self.shards = number, shards
-        n, key, logp, back = (rows[c].to_numpy() for c in ("n", "key", "logp", "back"))
-        gram = ~np.isnan(logp)
-        orders = range(1, ORDER + 1)
-        self.grams = {k: Table(key[gram & (n == k)], logp[gram & (n == k)]) for k in orders}
-        self.backs = {k: Table(key[~gram & (n == k)], back[~gram & (n == k)]) for k in orders}
+        kind, key, value = (rows.column(c).to_numpy() for c in ("kind", "key", "value"))
+        #: keys and values of grams (kind n) and contexts (kind -n); tasks make tables of them
+        self.parts = {int(k): (key[kind == k], value[kind == k]) for k in np.unique(kind)}
+        self.grams: dict[int, Table] = {}
+        self.backs: dict[int, Table] = {}
         self.even = float(np.log(1 / 256))
 
+    def opened(self) -> Shard:
+        """With its tables, which a task makes once."""
+        if not self.grams:
+            none = np.zeros(0, np.int64), np.zeros(0, np.float32)
+            self.backs = {k: Table(*self.parts.get(-k, none)) for k in range(1, ORDER + 1)}
+            self.grams = {k: Table(*self.parts.get(k, none)) for k in range(1, ORDER + 1)}
+        return self
+
     def mine(self, key: np.ndarray) -> np.ndarray:
         return shard_of(key >> 8 & 0xFFFF, self.shards) == self.number
 
@@ -213,10 +221,12 @@ def shares(docs: DataFrame, model: DataFrame, shards: int) -> list[DataFrame]:
         pair = F.when(F.col("logp").isNull(), F.col("key")).otherwise(F.shiftright("key", 8)).bitwiseAND(0xFFFF)
         inside = F.shiftright(F.pmod(pair * 40503, F.lit(65536)) * shards, 16) == number
         rows = model.where(inside | (F.col("n") <= 2)) if shards > 1 else model
-        shared = docs.sparkSession.sparkContext.broadcast(Shard(rows.toPandas(), number, shards))
+        kind = F.when(F.col("logp").isNull(), -F.col("n")).otherwise(F.col("n")).cast("byte").alias("kind")
+        rows = rows.select(kind, "key", F.coalesce("logp", "back").cast("float").alias("value"))
+        shared = docs.sparkSession.sparkContext.broadcast(Shard(rows.toArrow(), number, shards))
 
         def work(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            shard = shared.value
+            shard = shared.value.opened()
             data, offs = C.utf8(batch.column("text"))
             key = keys(data, offs)
             chance = np.zeros(len(key) + 1)
