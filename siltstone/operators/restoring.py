@@ -45,9 +45,9 @@ class Model:
 def train(texts: DataFrame, column: str = "text") -> Model:
     """Counts of all words, of neighbours within a text, and which forms each folded word was seen in."""
     rows = texts.select(T.syllables(column).alias("s"))
-    words = rows.select(F.explode("s").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    words = rows.select(F.explode_outer("s").alias("w")).where("w IS NOT NULL").groupBy("w").agg(F.count("*").alias("c"))
     neighbours = F.arrays_zip(F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))).alias("w1"), F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0))).alias("w2"))
-    pairs = rows.where(F.size("s") > 1).select(F.explode(neighbours).alias("p")).groupBy("p.w1", "p.w2").agg(F.count("*").alias("c"))
+    pairs = rows.select(F.explode_outer(neighbours).alias("p")).where("p IS NOT NULL").groupBy("p.w1", "p.w2").agg(F.count("*").alias("c"))
     spellings = words.select(T.folded("w").alias("plain"), "w", "c")
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_words"), F.count("*").alias("n_forms"))
     return Model(words, pairs, spellings, totals)
