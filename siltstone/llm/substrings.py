@@ -9,8 +9,10 @@ left of them read backwards, are ordered by multikey quicksort to a shallow dept
 The common prefixes of neighbours give for each window place x the classes of equal left x and equal right
 `LENGTH` - x bytes; a window is repeated if a pair of classes is met twice.
 
-No group is unbounded in one task: equal texts are one class and equal contexts of an anchor one row (partial
-aggregates); a bucket with more than `BUCKET` different contexts is split by longer and longer parts of the
+First only hashes move: of an anchor's gram and of the bytes about it that windows may reach (its context). Where all
+contexts of a gram are equal, all their windows are repeated; bytes are read again only for grams with different
+contexts, once for each context. No group is unbounded in one task: equal texts are one class and equal contexts of
+an anchor one row (partial aggregates); a bucket with more than `BUCKET` different contexts is split by longer and longer parts of the
 windows (ranges of x, each keyed by the bytes that all its windows share), until each is small or
 decided. Texts are not shuffled, but for those that lose a part of their bytes; fixed-size bit filters spare
 work on others, and joins remove what passes by chance.
@@ -24,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,8 @@ BACK = LENGTH - GRAM
 BUCKET = 2_000
 #: Keys of crowded buckets that are broadcast; more are joined by a shuffle.
 KEYS_SENT = 100_000
+#: Classes of equal texts that are broadcast; more are joined by a shuffle.
+CLASSES_SENT = 500_000
 #: Ranges that a crowded bucket's windows are split into.
 SPLIT = 4
 #: Bytes that multikey quicksort looks at before blind tries take over, and groups that it leaves to them at once.
@@ -253,61 +258,77 @@ def _row_key(ids: pa.Array, d1: np.ndarray) -> np.ndarray:
     return K.mix(d1 ^ K.mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
 
 
-SIGNED = "doc_id long, row_key long, d1 long, d2 long, n_bytes long, sha string, grams array<bigint>, often array<int>"
-CONTEXTS = "row_key long, d1 long, d2 long, gram long, digest long, places array<int>, left binary, right binary"
+SIGNED = "doc_id long, row_key long, d1 long, d2 long, n_bytes long, sha string, grams array<bigint>, digests array<bigint>, places array<int>"
+CONTEXTS = "row_key long, gram long, digest long, left binary, right binary"
+HITS = "row_key long, n_bytes long, copies long, gram long, digest long, place int"
 
 
-def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The whole text's digest, and its distinct anchors' grams with counts."""
-    data, offs = C.utf8(batch.column("text"))
-    spans = K.Spans(data)
+def _contexts_of(data: np.ndarray, offs: np.ndarray, spans: K.Spans) -> tuple[np.ndarray, ...]:
+    """For each anchor: its place, text and gram, the bytes [from, to) about it that windows may reach, and their digest."""
     at, gram = anchors(data, offs, spans)
     doc = np.searchsorted(offs, at, "right") - 1
-    order = np.lexsort((gram, doc))
-    doc, gram = doc[order], gram[order]
-    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    often = np.diff(np.append(first, len(doc)))
-    lists = pa.array(np.searchsorted(doc[first], np.arange(len(offs))).astype(np.int32))
+    a, b = np.maximum(at - BACK, offs[doc]), np.minimum(at + LENGTH, offs[doc + 1])
+    return at, doc, gram, a, b, spans.hash(a, b) ^ K.mix((at - a).astype(np.uint64))
+
+
+def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The whole text's digest, and its anchors: gram, digest of the context, place."""
+    data, offs = C.utf8(batch.column("text"))
+    at, doc, gram, _, _, digest = _contexts_of(data, offs, K.Spans(data))
+    lists = pa.array(np.searchsorted(doc, np.arange(len(offs))).astype(np.int32))
     d1, d2, sha = _digests(data, offs)
     return C.record(
         doc_id=batch.column("doc_id"), row_key=_row_key(batch.column("doc_id"), d1).view(np.int64), d1=d1.copy().view(np.int64), d2=d2.copy().view(np.int64), n_bytes=np.diff(offs), sha=sha,
-        grams=pa.ListArray.from_arrays(lists, pa.array(gram[first].view(np.int64))), often=pa.ListArray.from_arrays(lists, pa.array(often.astype(np.int32))),
+        grams=pa.ListArray.from_arrays(lists, pa.array(gram.view(np.int64))), digests=pa.ListArray.from_arrays(lists, pa.array(digest.view(np.int64))),
+        places=pa.ListArray.from_arrays(lists, pa.array((at - offs[doc]).astype(np.int32))),
     )
 
 
-def contexts(docs: DataFrame, rows: DataFrame, grams: DataFrame) -> DataFrame:
-    """The bytes about each anchor whose gram is repeated, once for each different context of a text."""
-    shared = docs.sparkSession.sparkContext.broadcast((bit_filter(rows, "row_key"), bit_filter(grams, "gram")))
+def anchors_of(rows: DataFrame, grams: DataFrame) -> DataFrame:
+    """One row for each anchor whose gram passes a filter of `grams` (column gram): what is no repeat is left in its array."""
+    shared = rows.sparkSession.sparkContext.broadcast(bit_filter(grams, "gram"))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        lists = batch.column("grams")
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        gram = lists.flatten().to_numpy()
+        keep = np.flatnonzero(_passes(shared.value, gram.view(np.uint64)))
+        if not len(keep):
+            return None
+        row = pa.array(np.repeat(np.arange(len(size)), size)[keep])
+        flat = {c: batch.column(f"{c}s").flatten().take(pa.array(keep)) for c in ("gram", "digest", "place")}
+        return C.record(**{c: batch.column(c).take(row) for c in ("row_key", "n_bytes", "copies")}, **flat)
+
+    return C.arrow_map(rows.select("row_key", "n_bytes", "copies", "grams", "digests", "places"), work, HITS, None).join(grams, "gram")
+
+
+def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """gram, digest, times, left, right: the bytes about one anchor of each context in `wanted` (gram, digest, times, row_key)."""
+    key = wanted.select(F.expr("gram ^ digest").alias("key"))
+    shared = docs.sparkSession.sparkContext.broadcast((bit_filter(wanted.select("row_key").distinct(), "row_key"), bit_filter(key, "key")))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        wanted_rows, wanted_grams = shared.value
+        wanted_rows, wanted_contexts = shared.value
         data, offs = C.utf8(batch.column("text"))
-        d1, d2, _ = _digests(data, offs)
-        key = _row_key(batch.column("doc_id"), d1)
-        wanted = _passes(wanted_rows, key)
+        row_key = _row_key(batch.column("doc_id"), _digests(data, offs)[0])
+        wanted = _passes(wanted_rows, row_key)
         if not wanted.any():
             return None
-        spans = K.Spans(data)
-        at, gram = anchors(data, offs, spans)
-        doc = np.searchsorted(offs, at, "right") - 1
-        keep = wanted[doc] & _passes(wanted_grams, gram)
-        at, gram, doc = at[keep], gram[keep], doc[keep]
-        if not len(at):
+        at, doc, gram, a, b, digest = _contexts_of(data, offs, K.Spans(data))
+        keep = np.flatnonzero(wanted[doc] & _passes(wanted_contexts, gram ^ digest))
+        if not len(keep):
             return None
-        a, b = np.maximum(at - BACK, offs[doc]), np.minimum(at + LENGTH, offs[doc + 1])
-        digest = spans.hash(a, b) ^ K.mix((at - a).astype(np.uint64))
-        order = np.lexsort((at, digest, gram, doc))
-        at, gram, doc, digest, a, b = (v[order] for v in (at, gram, doc, digest, a, b))
-        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1]) | (digest[1:] != digest[:-1])]))
-        raw, f = data.tobytes(), first
+        _, first = np.unique(K.mix(gram[keep] ^ K.mix(digest[keep] ^ K.mix(doc[keep].astype(np.uint64)))), return_index=True)
+        f, raw = keep[first], data.tobytes()
         return C.record(
-            row_key=key[doc[f]].view(np.int64), d1=d1[doc[f]].view(np.int64), d2=d2[doc[f]].view(np.int64), gram=gram[f].view(np.int64), digest=digest[f].view(np.int64),
-            places=pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array((at - offs[doc]).astype(np.int32))),
+            row_key=row_key[doc[f]].view(np.int64), gram=gram[f].view(np.int64), digest=digest[f].view(np.int64),
             left=pa.array([raw[x:y] for x, y in zip(a[f].tolist(), at[f].tolist(), strict=True)], pa.binary()),
             right=pa.array([raw[x:y] for x, y in zip(at[f].tolist(), b[f].tolist(), strict=True)], pa.binary()),
         )
 
-    return C.arrow_map(docs, work, CONTEXTS)
+    found = C.arrow_map(docs, work, CONTEXTS).withColumnRenamed("row_key", "holder")
+    both = found.join(wanted, ["gram", "digest"]).where("holder = row_key")
+    return both.groupBy("gram", "digest").agg(F.first("times").alias("times"), F.first("left").alias("left"), F.first("right").alias("right"))
 
 
 COVERED = "gram long, digest long, a int, b int"
@@ -374,10 +395,8 @@ def _split(rows: DataFrame) -> DataFrame:
     return C.arrow_map(rows.select(*columns), work, "key long, whole long, gram long, digest long, times long, lo int, hi int, full boolean", None)
 
 
-def covered(found: DataFrame, scratch: C.Scratch) -> DataFrame:
-    """Intervals (a, b) that are covered about each context (gram, digest)."""
-    different = found.groupBy("gram", "digest").agg(F.sum(F.size("places").cast("long")).alias("times"), F.first("left").alias("left"), F.first("right").alias("right"))
-    different = scratch.save(different, "different")
+def covered(different: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """Intervals (a, b) that are covered about each context (gram, digest, times, left, right)."""
     rows = different.select(F.col("gram").alias("key"), "*", F.lit(0).alias("lo"), F.lit(BACK).alias("hi"))
     out, level = None, 0
     while True:
@@ -410,21 +429,26 @@ def removed(docs: DataFrame) -> DataFrame:
     scratch = C.Scratch(spark, "substrings")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.save(C.arrow_map(docs, sign, SIGNED), "signed")
-    classes = scratch.save(signed.groupBy("d1", "d2", "n_bytes").agg(F.count("*").alias("copies"), F.min("row_key").alias("row_key")), "classes")
-    whole = signed.where(f"n_bytes >= {LENGTH}").join(classes.select("d1", "d2", "row_key"), ["d1", "d2", "row_key"]).dropDuplicates(["d1", "d2"])
-    grams = whole.select("row_key", F.explode(F.arrays_zip("grams", "often")).alias("g")).select("row_key", F.col("g.grams").alias("gram"), F.col("g.often").alias("often"))
-    grams = scratch.save(grams, "grams")
-    again = scratch.save(grams.groupBy("gram").agg(F.sum("often").alias("n")).where("n > 1").select("gram"), "again")
-    rows = scratch.save(grams.join(again, "gram").select("row_key").distinct(), "rows")
-    found = contexts(docs, rows, again).join(rows, "row_key", "left_semi")
-    found = scratch.save(found, "contexts")
-    spans = covered(found, scratch)
-    per_text = found.select("d1", "d2", "gram", "digest", F.explode("places").alias("p")).join(spans, ["gram", "digest"])
-    per_text = per_text.select("d1", "d2", (F.col("p") + F.col("a")).alias("a"), (F.col("p") + F.col("b")).alias("b"))
-    per_text = per_text.groupBy("d1", "d2").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
-    single = classes.where("copies = 1").select("d1", "d2", "row_key")
-    per_text = scratch.save(per_text.join(single, ["d1", "d2"]).select("row_key", "spans"), "spans")
-    scratch.drop("contexts", "different", "grams")
+    classes = signed.groupBy("d1", "d2", "n_bytes").agg(F.count("*").alias("copies"), F.min("row_key").alias("first")).where("copies > 1")
+    classes = scratch.save(classes.select("d1", "d2", "copies", "first"), "classes")
+    hint = F.broadcast(classes) if classes.count() <= CLASSES_SENT else classes
+    # of equal texts one takes part; it is not scored itself, for all of it goes
+    long = signed.where(f"n_bytes >= {LENGTH}").join(hint, ["d1", "d2"], "left").where("copies IS NULL OR row_key = first")
+    whole = long.where("copies IS NULL").unionByName(long.where("copies > 1").dropDuplicates(["d1", "d2"]))
+    each = whole.select(F.explode(F.arrays_zip("grams", "digests")).alias("x"))
+    again = each.groupBy(F.col("x.grams").alias("gram")).agg(F.count("*").alias("n"), (F.min("x.digests") == F.max("x.digests")).alias("alike"))
+    again = scratch.save(again.where("n > 1").select("gram", "alike"), "again")
+    hits = scratch.save(anchors_of(whole, again), "hits")
+    # where all contexts of a gram are equal, all their windows are repeated; others are compared, by the bytes of one of each
+    some = hits.where("NOT alike").groupBy("gram", "digest").agg(F.count("*").alias("times"), F.min("row_key").alias("row_key"))
+    different = scratch.save(contexts(docs, scratch.save(some, "some")), "different")
+    spans = covered(different, scratch)
+    single = hits.where("copies IS NULL")
+    alike = single.where(f"alike AND least({BACK}, place) + least({LENGTH}, n_bytes - place) >= {LENGTH}")
+    alike = alike.selectExpr("row_key", f"CAST(place - least({BACK}, place) AS INT) AS a", f"CAST(place + least({LENGTH}, n_bytes - place) AS INT) AS b")
+    per_text = single.where("NOT alike").join(spans, ["gram", "digest"]).selectExpr("row_key", "place + a AS a", "place + b AS b").union(alike)
+    per_text = scratch.save(per_text.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
+    scratch.drop("hits", "different", "again", "some")
 
     shared = spark.sparkContext.broadcast(bit_filter(per_text, "row_key"))
 
@@ -454,7 +478,7 @@ def removed(docs: DataFrame) -> DataFrame:
 
     texts = C.arrow_map(docs, pick, "row_key long, text string").join(per_text, "row_key").select("row_key", "text", "spans")
     parts = C.arrow_map(texts, cut, "row_key long, gone long, many long, kept string", "text").dropDuplicates(["row_key"])
-    out = signed.select("doc_id", "row_key", "d1", "d2", "n_bytes", "sha").join(classes.where("copies > 1").select("d1", "d2", "copies"), ["d1", "d2"], "left").join(parts, "row_key", "left")
+    out = signed.select("doc_id", "row_key", "d1", "d2", "n_bytes", "sha").join(classes.select("d1", "d2", "copies"), ["d1", "d2"], "left").join(parts, "row_key", "left")
     everything = F.expr(f"copies > 1 AND n_bytes >= {LENGTH}")
     return out.select(
         "doc_id", "n_bytes",
