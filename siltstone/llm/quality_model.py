@@ -10,9 +10,8 @@ The finished table is dealt into shards by the two bytes before the predicted on
 many that each is small enough to be sent to all tasks, however large the model. All grams and contexts that a
 position needs lie in one shard. Every shard is joined with all documents and yields each document's share of the
 log-likelihood; the shares are summed. A document is kept if its log-perplexity per byte is at most the threshold of
-its language: the median of held-out trusted documents plus `SPREAD` times the distance of their `QUANTILE` to it,
-widened for short texts, whose perplexity varies more. A language with under `LEAST` such documents has the threshold
-of all together.
+its language: the `QUANTILE` of held-out trusted documents, whose distance to their median is widened for short texts,
+whose perplexity varies more. A language with under `LEAST` such documents has the threshold of all together.
 
 Null or empty texts have no perplexity and are not kept. A null lang counts as the language `und`. A document with
 several labels is trusted if none of them is bad. Without trusted text all texts that have a byte are kept, with
@@ -30,7 +29,9 @@ from . import common as C
 
 ORDER = 5
 SHARD_ROWS = 2_000_000
-QUANTILE, SPREAD, LEAST = 0.95, 3.0, 20
+QUANTILE, LEAST = 0.95, 20
+#: Nats per byte by which equal texts may differ as their shares are added up.
+NEAR = 1e-6
 #: Bytes from which a text's perplexity counts as settled.
 SETTLED = 400
 #: Distinct grams that a counting task holds before it hands them on.
@@ -291,7 +292,7 @@ def judged(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) ->
         out = out.withColumn("threshold", F.lit(None).cast("double"))
     else:
         whole = every.first()
-        out = out.withColumn("threshold", F.coalesce("middle", F.lit(whole.all_middle)) + SPREAD * widening() * F.greatest(F.coalesce("spread", F.lit(whole.all_spread)), F.lit(0.01)))
+        out = out.withColumn("threshold", F.coalesce("middle", F.lit(whole.all_middle)) + widening() * F.coalesce("spread", F.lit(whole.all_spread)) + NEAR)
     kept = (F.col("n_bytes") > 0) & F.coalesce(F.col("log_loss") <= F.col("threshold"), F.lit(True))
     return out.select("doc_id", "lang", "n_bytes", F.exp("log_loss").alias("perplexity"), F.exp("threshold").alias("threshold"), kept.alias("kept"))
 

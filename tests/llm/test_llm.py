@@ -253,6 +253,14 @@ def test_quality_model_keeps_prose_and_drops_noise(spark):
     assert not any(got[k].kept for k in range(300, 320))
 
 
+def test_quality_threshold_is_the_quantile_of_held_out_documents(spark):
+    texts = [prose(k, 60 + k % 60) for k in range(400)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    got = quality_model.judged(documents(spark, *texts), labels).where("pmod(xxhash64(doc_id, 4), 5) = 0").collect()
+    dropped = sum(not r.kept for r in got) / len(got)
+    assert 0.02 <= dropped <= 0.08
+
+
 # --- 5: personal data -------------------------------------------------------------------------------------------
 
 
