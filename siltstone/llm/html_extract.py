@@ -1,15 +1,15 @@
 """Main text of web pages by wrapper induction.
 
-Pages become trees of elements and texts. For each host, up to `SAMPLE` pages with different contents (those with the
-least hashes) are aligned by simple tree matching; text nodes that match at the same place with the same text in
-every aligned pair are constant: they are the host's template. Nodes that vary are slots. A page's main text is what stands in
-slots, less the regions that are no article by their element or names (navigation, headers, footers, sidebars,
+Pages become trees of elements and texts. Pages of a host whose bodies have the same regions are of one layout. Every
+page is aligned with one page of its layout (that with the least hash) by simple tree matching; text nodes that match at
+the same place with the same text in all pages are constant: they are the layout's template. Nodes that vary are slots.
+A layout whose pages all have one main text has no template. A page's main text is what stands in slots, less the regions that are no article by their element or names (navigation, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, comments) and less lists of links. A page with an article or main element
-is read from there; constants inside it count as template only in short blocks that all aligned pages share.
+is read from there; constants inside it count as template only in short blocks that all pages of the layout share.
 
 Character references are decoded; white space inside a block becomes one space; blocks are joined in page order by
 one space. A null or empty page gives an empty text; broken markup is read as far as it goes, and text after the
-last tag still counts. Hosts with one page have no template. Pages are judged row by row: repeated rows and null
+last tag still counts. Layouts with one page have no template. Pages are judged row by row: repeated rows and null
 page_ids have their own results.
 """
 
@@ -19,16 +19,15 @@ import hashlib
 import html
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Pages of a host that are aligned with each other, and nodes of one of them that take part.
-SAMPLE, NODES = 6, 2_000
-#: Hosts whose samples and templates are broadcast; more are joined by a shuffle.
-HOSTS_SENT = 20_000
+#: Layouts whose pages and templates are broadcast; more are joined by a shuffle.
+LAYOUTS_SENT = 2_000
 #: Longest constant block (in characters) inside an article that is taken for template.
 SHORT = 120
 
@@ -46,6 +45,8 @@ _OTHER = frozenset(
     "comment comments commentlist reply replies disqus respond discussion share sharing social follow related recommended recommendations trending popular pagination pager paging newsletter subscribe subscription signup login search "
     "form skip tags tagcloud toc byline alert toast hidden sr".split()
 )
+#: Elements that are regions of a page even without class, id or role.
+_REGIONS = frozenset("div nav header footer main article aside section form".split())
 _WORDS = re.compile(r"[a-z]+")
 _SPLIT = re.compile(r"([a-z])([A-Z])")
 
@@ -152,80 +153,107 @@ def _flat(node: Node, path: str, out: list[tuple[Node, str]]) -> None:
         todo += [(k, f"{path}/{k.name}.{k.mark}") for k in reversed(node.kids) if isinstance(k, Node)]
 
 
-def match(a: Node, b: Node, limit: int = NODES) -> list[tuple[Node, Node]]:
-    """Simple tree matching: pairs of nodes of the greatest order-preserving matching from the roots down.
+def layout(root: Node) -> str:
+    """Key of the regions that the page's body has; numbers of three digits or more in their names do not count."""
+    at = root
+    for name in ("html", "body"):
+        at = next((k for k in at.kids if isinstance(k, Node) and k.name == name), at)
+    found = {f"{k.name}.{re.sub(r'[0-9]{3,}', '0', k.mark)}" for k in at.kids if isinstance(k, Node) and (k.mark or k.name in _REGIONS)}
+    return _key("", "\n".join(sorted(found)))
+
+
+def _shapes(root: Node, ids: dict) -> dict[int, int]:
+    """For each node a number that it shares with the nodes of equal subtrees, texts aside."""
+    nodes: list[tuple[Node, str]] = []
+    _flat(root, "", nodes)
+    out: dict[int, int] = {}
+    for node, _ in reversed(nodes):
+        shape = (node.name, node.mark, *(out[id(k)] for k in node.kids if isinstance(k, Node)))
+        out[id(node)] = ids.setdefault(shape, len(ids))
+    return out
 
-    Trees with more than `limit` nodes each are matched in the nodes that come first.
-    """
-    for tree in (a, b):
-        found: list[tuple[Node, str]] = []
-        _flat(tree, "", found)
-        if len(found) > limit:
-            keep = {id(n) for n, _ in found[:limit]}
-            for n, _ in found[:limit]:
-                n.kids = [k for k in n.kids if isinstance(k, str) or id(k) in keep]
-    memo: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
-
-    def score(x: Node, y: Node, depth: int) -> tuple[int, list[tuple[Node, Node]]]:
-        if x.name != y.name or x.mark != y.mark or depth > 100:
-            return 0, []
-        if (found := memo.get((id(x), id(y)))) is not None:
-            return found
-        xs, ys = ([k for k in n.kids if isinstance(k, Node)] for n in (x, y))
-        if len(xs) * len(ys) > 10_000:  # long lists of paragraphs are matched place by place
-            chosen = [(p, q) for p, q in zip(xs, ys, strict=False)]
-            total = sum(score(p, q, depth + 1)[0] for p, q in chosen)
-        else:
-            table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-            part = [[score(p, q, depth + 1)[0] for q in ys] for p in xs]
-            for i in range(len(xs)):
-                for j in range(len(ys)):
-                    table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + part[i][j])
-            total, chosen, i, j = table[-1][-1], [], len(xs), len(ys)
-            while i and j:
-                if part[i - 1][j - 1] and table[i][j] == table[i - 1][j - 1] + part[i - 1][j - 1]:
-                    i, j = i - 1, j - 1
-                    chosen.append((xs[i], ys[j]))
-                elif table[i][j] == table[i - 1][j]:
-                    i -= 1
-                else:
-                    j -= 1
-        memo[id(x), id(y)] = found = total + 1, chosen
-        return found
 
-    score(a, b, 0)
-    out, todo = [], [(a, b)]
+def _aligned(xs: list[int], ys: list[int], part: dict[tuple[int, int], int]) -> tuple[int, list[tuple[int, int]]]:
+    """The greatest sum of an order-preserving matching of two lists of shapes, and its pairs of places, last first.
+
+    Only every `step`-th row of the table is kept; the rows between are made again on the way back.
+    """
+    if not xs or not ys:
+        return 0, []
+    kinds, at = np.unique(np.array(ys), return_inverse=True)
+    worth = {x: np.array([part.get((x, y), 0) for y in kinds.tolist()], np.int64)[at] for x in set(xs)}
+
+    def after(row: np.ndarray, x: int) -> np.ndarray:
+        out = row.copy()
+        np.maximum(row[1:], row[:-1] + worth[x], out=out[1:])
+        return np.maximum.accumulate(out)
+
+    step = max(8, int(len(xs) ** 0.5))
+    row, kept = np.zeros(len(ys) + 1, np.int64), []
+    for i, x in enumerate(xs):
+        if i % step == 0:
+            kept.append(row)
+        row = after(row, x)
+    total, pairs, j = int(row[-1]), [], len(ys)
+    for block in range(len(kept) - 1, -1, -1):
+        rows = [kept[block]]
+        for x in xs[block * step : (block + 1) * step]:
+            rows.append(after(rows[-1], x))
+        i = len(rows) - 1
+        while i and j:
+            gain = worth[xs[block * step + i - 1]][j - 1]
+            if gain and rows[i][j] == rows[i - 1][j - 1] + gain:
+                i, j = i - 1, j - 1
+                pairs.append((block * step + i, j))
+            elif rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+    return total, pairs
+
+
+def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """Simple tree matching: pairs of nodes of the greatest order-preserving matching from the roots down."""
+    ids: dict = {}
+    of = _shapes(a, ids) | _shapes(b, ids)
+    shapes = list(ids)
+    memo: dict[tuple[int, int], int] = {}
+    ways: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    todo = [(of[id(a)], of[id(b)])]
     while todo:
-        x, y = todo.pop()
-        if (id(x), id(y)) in memo:
-            out.append((x, y))
-            todo += memo[id(x), id(y)][1]
+        x, y = todo[-1]
+        if (x, y) in memo:
+            todo.pop()
+        elif shapes[x][:2] != shapes[y][:2]:
+            memo[todo.pop()] = 0
+        else:
+            xs, ys = shapes[x][2:], shapes[y][2:]
+            other = set(ys)
+            need = [(p, q) for p in set(xs) for q in other if (p, q) not in memo]
+            if need:
+                todo += need
+                continue
+            total, ways[x, y] = _aligned(xs, ys, memo)
+            memo[todo.pop()] = total + 1
+    out, pairs = [], [(a, b)] if memo[of[id(a)], of[id(b)]] else []
+    while pairs:
+        x, y = pairs.pop()
+        out.append((x, y))
+        xs, ys = ([k for k in n.kids if isinstance(k, Node)] for n in (x, y))
+        pairs += [(xs[i], ys[j]) for i, j in ways[of[id(x)], of[id(y)]]]
     return out
 
 
-def induce(pages: list[str]) -> list[str]:
-    """Keys of the constant text nodes of pages of one host; pages with equal main texts count once."""
-    trees, seen = [], set()
-    for page in pages:
-        tree = parse(page)
-        if (text := extract(tree, frozenset())) not in seen:
-            seen.add(text)
-            trees.append(tree)
-    if len(trees) < 2:
-        return []
-    counts: dict[str, int] = {}
-    first = trees[0]
+def constants(first: Node, other: Node) -> set[str]:
+    """Keys of the text nodes of first that other has at the matching place."""
     paths: list[tuple[Node, str]] = []
     _flat(first, "", paths)
     where = {id(n): p for n, p in paths}
-    for other in trees[1:]:
-        same = set()
-        for x, y in match(first, other):
-            theirs = {_clean(k) for k in y.kids if isinstance(k, str)}
-            same |= {_key(where.get(id(x), ""), t) for k in x.kids if isinstance(k, str) and (t := _clean(k)) and t in theirs}
-        for k in same:
-            counts[k] = counts.get(k, 0) + 1
-    return sorted(k for k, n in counts.items() if n == len(trees) - 1)
+    same = set()
+    for x, y in match(first, other):
+        theirs = {_clean(k) for k in y.kids if isinstance(k, str)}
+        same |= {_key(where[id(x)], t) for k in x.kids if isinstance(k, str) and (t := _clean(k)) and t in theirs}
+    return same
 
 
 def _container(root: Node) -> Node | None:
@@ -310,32 +338,56 @@ def _host(column: str) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(column), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host and template (keys of constant nodes), from a bounded sample of each host's pages."""
-    spark = pages.sparkSession
-    scratch = C.Scratch(spark, "wrappers")
-    rows = pages.select(_host("url").alias("host"), F.xxhash64("url", F.lit(0)).alias("h"), "url", "html").where("host <> '' AND html IS NOT NULL")
-    least = [F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(SAMPLE)]
-    chosen = scratch.save(rows.select("host", "h").groupBy("host").agg(*least), "chosen")
-    chosen = F.broadcast(chosen) if chosen.count() <= HOSTS_SENT else chosen
-    hit = F.lit(False)
-    for k in range(SAMPLE):  # a page is found again by its hash under the seed that chose it
-        hit = hit | (F.xxhash64("h", F.lit(k)) == F.col(f"m{k}"))
-    some = rows.join(chosen, "host").where(hit).groupBy("host", "h").agg(F.min("html").alias("html"))
-
-    def work(key, table):
-        texts = [t for _, t in sorted(zip(table.column("h").to_pylist(), table.column("html").to_pylist(), strict=True))]
-        return pa.table({"host": pa.array([key[0].as_py()]), "template": pa.array([induce(texts)], pa.list_(pa.string()))})
+def _laid_out(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, host and layout, and the digest of its text, of each row of pages."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host("url").alias("host"))
 
-    return scratch.save(some.groupBy("host").applyInArrow(work, "host string, template array<string>"), "wrappers")
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kinds, mains = [], []
+        for page in batch.column("html").to_pylist():
+            tree = parse(page or "")
+            kinds.append(layout(tree))
+            mains.append(_key("", extract(tree, frozenset())))
+        return C.record(**{c: batch.column(c) for c in ("page_id", "url", "html", "host")}, layout=kinds, main=mains)
+
+    return C.arrow_map(rows, work, "page_id long, url string, html string, host string, layout string, main string", "html")
+
+
+def wrappers(laid: DataFrame) -> DataFrame:
+    """host, layout and template (keys of constant nodes) of the layouts that have one."""
+    scratch = C.Scratch(laid.sparkSession, "wrappers")
+    rows = laid.where("host <> '' AND html IS NOT NULL")
+    first = F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("first")
+    firsts = rows.groupBy("host", "layout").agg(first, F.count("*").alias("n"), F.min("main").alias("a"), F.max("main").alias("b"))
+    firsts = scratch.save(firsts.where("a <> b").select("host", "layout", "first", "n"), "firsts")
+    few = firsts.count() <= LAYOUTS_SENT
+    pairs = rows.select("host", "layout", "html").join(F.broadcast(firsts) if few else firsts, ["host", "layout"])
+
+    def run(batches):
+        tree: tuple[str, Node | None] = "", None
+        for batch in batches:
+            for part in C.slices(batch, "html"):
+                times: dict[tuple, int] = {}
+                for host, kind, n, first, page in sorted(zip(*(part.column(c).to_pylist() for c in ("host", "layout", "n", "first", "html")), strict=True)):
+                    if tree[1] is None or tree[0] != first:
+                        tree = first, parse(first)
+                    for k in constants(tree[1], parse(page)):
+                        times[host, kind, n, k] = times.get((host, kind, n, k), 0) + 1
+                if times:
+                    host, kind, n, key = zip(*times, strict=True)
+                    yield C.record(host=list(host), layout=list(kind), n=list(n), key=list(key), c=list(times.values()))
+
+    found = pairs.mapInArrow(run, "host string, layout string, n long, key string, c long")
+    found = found.groupBy("host", "layout", "n", "key").agg(F.sum("c").alias("c")).where("c = n")
+    return scratch.save(found.groupBy("host", "layout").agg(F.sort_array(F.collect_list("key")).alias("template")), "wrappers")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages."""
-    spark = C.tuned(pages.sparkSession)
-    found = wrappers(pages)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host("url").alias("host"))
-    rows = rows.join(F.broadcast(found) if found.count() <= HOSTS_SENT else found, "host", "left").select("page_id", "url", "html", "template")
+    C.tuned(pages.sparkSession)
+    laid = _laid_out(pages)
+    found = wrappers(laid)
+    rows = laid.join(F.broadcast(found) if found.count() <= LAYOUTS_SENT else found, ["host", "layout"], "left").select("page_id", "url", "html", "template")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []

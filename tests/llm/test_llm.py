@@ -431,6 +431,22 @@ def test_tree_matching_is_order_preserving_and_largest():
     assert len(html_extract.match(a, b)) == 4  # root, list, and p before li
 
 
+def test_each_layout_has_its_template(spark):
+    def body(k, words):
+        return f"<html><body><div class='content{k % 2}'><p>Text {words} of page {k}.</p></div><div class='end{k % 2}'>Layout {k % 2} says this.</div></body></html>"
+
+    rows = [(k, f"http://a.com/{k}", body(k, f"w{k}")) for k in range(40)]
+    rows += [(k, f"http://b.com/{k}", body(k, f"v{k} " + "<br>".join("x" for _ in range(2500)))) for k in (40, 42)]
+    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Text w{k} of page {k}." for k in range(40))
+    assert not any("says this" in got[k] for k in (40, 42))
+
+
+def test_long_lists_are_matched_like_short_ones():
+    a, b = (html_extract.parse("<ul>" + kids + "</ul>") for kids in ("<li>1</li>" * 150 + "<p>x</p>", "<p>y</p>" + "<li>1</li>" * 150 + "<p>x</p>"))
+    assert len(html_extract.match(a, b)) == 153  # root, list, and all of the shorter one
+
+
 # --- 9: repeated strings -------------------------------------------------------------------------------------------------
 
 
