@@ -12,12 +12,16 @@ The common prefixes of neighbours give for each window place x the classes of eq
 First only hashes move: of an anchor's gram and of the bytes about it that windows may reach (its context). Where all
 contexts of a gram are equal, all their windows are repeated; bytes are read again only for grams with different
 contexts, once for each context. No group is unbounded in one task: equal texts are one class and equal contexts of
-an anchor one row (partial aggregates); a bucket with more than `BUCKET` different contexts is split by longer and longer parts of the
-windows (ranges of x, each keyed by the bytes that all its windows share), until each is small or
-decided. Texts are not shuffled, but for those that lose a part of their bytes; fixed-size bit filters spare
-work on others, and joins remove what passes by chance.
-
-Null and empty texts have no bytes. Rows with equal texts have equal results, whatever their doc_id.
+an anchor one row (partial aggregates). A bucket with more than `BUCKET` different contexts is dealt out once to `SPLIT`
+ranges of x, each keyed by the bytes that all its windows share, which spreads a hot gram over tasks; what is then
+still larger than `HELD` is split by ranges of ranges. A context thus becomes `SPLIT` rows, and `SPLIT` more for each
+range of a bucket over `HELD` in which it differs from all others at an end only: at most 4 / 3 * `BACK` rows, however
+large its group is. Texts are not shuffled, but for those that lose a part of their bytes; fixed-size bit filters
+spare work on others, and joins remove what passes by chance.
+
+Null and empty texts have no bytes; an empty table gives no rows. Rows with equal texts have equal results, whatever
+their doc_id; a null doc_id is a row like others. Very long texts are read whole, one at a time. There are no ties:
+a byte is covered or not. Other columns of docs are not read, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -35,7 +39,10 @@ from . import kernels as K
 
 LENGTH, GRAM = 400, 32
 BACK = LENGTH - GRAM
-BUCKET = 2_000
+#: Different contexts of a gram that one task sorts at first, and those of a range that one task sorts later on.
+BUCKET, HELD = 2_000, 20_000
+#: Elements of the class tables that `repeats` holds at once.
+CELLS = 4_000_000
 #: Keys of crowded buckets that are broadcast; more are joined by a shuffle.
 KEYS_SENT = 100_000
 #: Classes of equal texts that are broadcast; more are joined by a shuffle.
@@ -149,22 +156,42 @@ def deep_shallow(texts: list[bytes], known: int = 0) -> tuple[list[int], list[in
     return order, lcps
 
 
-def _classes(texts: list[bytes], known: int) -> np.ndarray:
-    """classes[d, i]: the class of text i among equal prefixes of d bytes, or -1 if it is shorter."""
-    order, lcps = deep_shallow(texts, known)
-    rank = np.array(lcps)
-    size = np.array([len(t) for t in texts])
-    depth = np.arange(LENGTH + 1)[:, None]
-    out = np.empty((LENGTH + 1, len(texts)), np.int64)
-    out[:, order] = np.cumsum(rank[None, :] < depth, axis=1)
-    out[depth > size[None, :]] = -1
-    return out
+class _Classes:
+    """Classes of texts among equal prefixes of any depth, from their sorted order."""
+
+    def __init__(self, texts: list[bytes], known: int):
+        order, lcps = deep_shallow(texts, known)
+        self.order, self.lcps, self.size = np.array(order), np.array(lcps), np.array([len(t) for t in texts])
+
+    def at(self, depth: np.ndarray) -> np.ndarray:
+        """[d, i]: the class of text i among equal prefixes of depth[d] bytes, or -1 if it is shorter."""
+        out = np.empty((len(depth), len(self.order)), np.int64)
+        out[:, self.order] = np.cumsum(self.lcps[None, :] < depth[:, None], axis=1)
+        out[depth[:, None] > self.size[None, :]] = -1
+        return out
+
+
+def _again(left: np.ndarray, right: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """[x, i]: whether context i has a window at x whose two classes another context has too, or that is there several times."""
+    n = left.shape[1]
+    fits = (left >= 0) & (right >= 0)
+    key = np.where(fits, left * (n + 1) + right, -1 - np.arange(n))
+    order = np.argsort(key, axis=1, kind="stable")
+    ranked = np.take_along_axis(key, order, 1)
+    same = np.zeros_like(fits)
+    equal = ranked[:, 1:] == ranked[:, :-1]
+    same[:, 1:] |= equal
+    same[:, :-1] |= equal
+    again = np.zeros_like(fits)
+    np.put_along_axis(again, order, same, 1)
+    return (again | several[None, :]) & fits
 
 
 def repeats(lefts: list[bytes], rights: list[bytes], times: list[int], lo: int = 0, hi: int = BACK) -> list[list[tuple[int, int]]]:
     """For each context of one anchor, the covered intervals [from, to) relative to it.
 
-    lefts and rights are the bytes about the anchor; times counts equal contexts; x is in lo..hi.
+    lefts and rights are the bytes about the anchor; times counts equal contexts; x is in lo..hi. Besides the sorted
+    strings, `CELLS` elements are held at once, and a bit for each context and x.
     """
     n = len(lefts)
     if n == 1 and times[0] == 1:
@@ -175,22 +202,14 @@ def repeats(lefts: list[bytes], rights: list[bytes], times: list[int], lo: int =
         x0, x1 = max(lo, LENGTH - b), min(hi, a)
         return [[(-x1, LENGTH - x0)] if x0 <= x1 else []] * 2
     x = np.arange(lo, hi + 1)
-    left = _classes([t[::-1] for t in lefts], 0)[x]
-    right = _classes(rights, GRAM)[LENGTH - x]
-    fits = (left >= 0) & (right >= 0)
-    key = np.where(fits, left * (n + 1) + right, -1 - np.arange(n))
-    order = np.argsort(key, axis=1, kind="stable")
-    ranked = np.take_along_axis(key, order, 1)
-    same = np.zeros_like(fits)
-    equal = ranked[:, 1:] == ranked[:, :-1]
-    same[:, 1:] |= equal
-    same[:, :-1] |= equal
-    again = np.zeros_like(fits)
-    np.put_along_axis(again, order, same, 1)
-    again = (again | (np.array(times) > 1)[None, :]) & fits
-    out = []
+    left, right, several = _Classes([t[::-1] for t in lefts], 0), _Classes(rights, GRAM), np.array(times) > 1
+    again, step = np.zeros((len(x) + 2, n), bool), max(1, CELLS // n)
+    for k in range(0, len(x), step):
+        some = x[k : k + step]
+        again[k + 1 : k + 1 + len(some)] = _again(left.at(some), right.at(LENGTH - some), several)
+    out: list[list[tuple[int, int]]] = []
     for i in range(n):
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], again[:, i], [False]]).astype(np.int8)))
+        edge = np.flatnonzero(again[1:, i] != again[:-1, i])
         out.append([(-int(x[b - 1]), LENGTH - int(x[a])) for a, b in zip(edge[::2], edge[1::2], strict=True)])
     return out
 
@@ -400,7 +419,8 @@ def covered(different: DataFrame, scratch: C.Scratch) -> DataFrame:
     rows = different.select(F.col("gram").alias("key"), "*", F.lit(0).alias("lo"), F.lit(BACK).alias("hi"))
     out, level = None, 0
     while True:
-        crowded = scratch.save(rows.groupBy("key").count().where(f"count > {BUCKET}").select("key"), f"crowded{level}")
+        limit = HELD if level else BUCKET
+        crowded = scratch.save(rows.groupBy("key").count().where(f"count > {limit}").select("key"), f"crowded{level}")
         many = crowded.count()
         hint = F.broadcast(crowded) if many <= KEYS_SENT else crowded
         part = scratch.save(_sort_buckets(rows.join(hint, "key", "left_anti") if many else rows), f"covered{level}")
@@ -418,13 +438,15 @@ def covered(different: DataFrame, scratch: C.Scratch) -> DataFrame:
         # a piece that meets no other is decided
         open_ = scratch.save(rest.groupBy("key").agg(F.count("*").alias("n"), F.max("alone").alias("alone")).where("n > 1 OR alone").select("key"), f"open{level}")
         rows = rest.join(open_, "key").drop("alone").join(different.select("gram", "digest", "left", "right"), ["gram", "digest"])
-        rows = scratch.save(rows.select("key", "gram", "digest", "times", "left", "right", "lo", "hi"), f"rows{level}")
+        # only the bytes that windows of the range reach go on
+        part_left, part_right = F.expr("substring(left, greatest(1, length(left) - hi + 1), hi)").alias("left"), F.expr(f"substring(right, 1, {LENGTH} - lo)").alias("right")
+        rows = scratch.save(rows.select("key", "gram", "digest", "times", part_left, part_right, "lo", "hi"), f"rows{level}")
         scratch.drop(f"pieces{level}", f"full{level}", f"open{level}", *([f"rows{level - 1}"] if level else []))
         level += 1
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats, n_kept for each row of docs."""
     spark = C.tuned(docs.sparkSession)
     scratch = C.Scratch(spark, "substrings")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -480,13 +502,15 @@ def removed(docs: DataFrame) -> DataFrame:
     parts = C.arrow_map(texts, cut, "row_key long, gone long, many long, kept string", "text").dropDuplicates(["row_key"])
     out = signed.select("doc_id", "row_key", "d1", "d2", "n_bytes", "sha").join(classes.select("d1", "d2", "copies"), ["d1", "d2"], "left").join(parts, "row_key", "left")
     everything = F.expr(f"copies > 1 AND n_bytes >= {LENGTH}")
+    gone = F.when(everything, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0)))
     return out.select(
-        "doc_id", "n_bytes",
-        F.when(everything, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
+        "doc_id", "n_bytes", gone.alias("n_removed"),
         F.when(everything, F.lit(1)).otherwise(F.coalesce("many", F.lit(0))).cast("long").alias("n_spans"),
         F.when(everything, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        (gone > 0).alias("repeats"), (F.col("n_bytes") - gone).alias("n_kept"),
     )
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, then whether a document loses bytes (repeats) and how many stay (n_kept)."""
     return removed(C.table(spark, sf_dir, "documents"))

@@ -462,9 +462,11 @@ def repeated_strings(texts):
         yield len(r), sum(mask), runs, hashlib.sha256(bytes(c for c, m in zip(r, mask, strict=True) if not m)).hexdigest()
 
 
-@pytest.mark.parametrize("bucket", [2000, 4])
-def test_repeated_strings(spark, bucket, monkeypatch):
+@pytest.mark.parametrize(("bucket", "held", "cells"), [(2000, 20_000, 4_000_000), (4, 12, 60)])
+def test_repeated_strings(spark, bucket, held, cells, monkeypatch):
     monkeypatch.setattr(substrings, "BUCKET", bucket)
+    monkeypatch.setattr(substrings, "HELD", held)
+    monkeypatch.setattr(substrings, "CELLS", cells)
     rng = random.Random(bucket)
     shared = [prose(k, 150) for k in range(3)]
     texts = ["", None, "a" * 1000, "a" * 399, "ab" * 600, "é" * 350]
@@ -476,6 +478,33 @@ def test_repeated_strings(spark, bucket, monkeypatch):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for _, r in sorted(got.items())] == list(repeated_strings(texts))
 
 
+def edited_copies(n):
+    rng, base = random.Random(n), prose(1, 160)
+    for _ in range(n):
+        text = list(base)
+        for _ in range(3):
+            text[rng.randrange(len(text))] = rng.choice("0123456789")
+        yield "".join(text)
+
+
+def test_crowded_buckets_grow_in_proportion(spark, monkeypatch):
+    """A context of near copies of one text becomes four rows at most, however many copies there are."""
+    monkeypatch.setattr(substrings, "BUCKET", 20)
+    split = substrings._split
+    for n in (40, 160):
+        made = []
+
+        def counted(rows, made=made):
+            made.append((rows.count(), split(rows).count()))
+            return split(rows)
+
+        monkeypatch.setattr(substrings, "_split", counted)
+        texts = list(edited_copies(n))
+        got = by_id(substrings.removed(documents(spark, *texts)))
+        assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for _, r in sorted(got.items())] == list(repeated_strings(texts))
+        assert made and sum(out for _, out in made) <= 4 * made[0][0]
+
+
 def test_deep_shallow_order():
     rng = random.Random(2)
     for _ in range(30):
