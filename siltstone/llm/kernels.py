@@ -62,13 +62,17 @@ class Spans:
 
 def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs without white space, and n+1 indices of each text's first word."""
-    solid = ~SPACE[data]
-    first = np.zeros(len(data) + 1, bool)
+    return runs(~SPACE[data], offs)
+
+
+def runs(solid: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of maximal runs of true bytes within a text, and n+1 indices of each text's first run."""
+    first = np.zeros(len(solid) + 1, bool)
     first[offs] = True
-    before = np.zeros(len(data), bool)
+    before = np.zeros(len(solid), bool)
     before[1:] = solid[:-1]
     starts = np.flatnonzero(solid & (~before | first[:-1]))
-    after = np.zeros(len(data), bool)
+    after = np.zeros(len(solid), bool)
     after[:-1] = solid[1:]
     ends = np.flatnonzero(solid & (~after | first[1:])) + 1
     return starts, ends, np.searchsorted(starts, offs)
