@@ -10,8 +10,17 @@ estimates each labeler's reliability; the resulting soft labels train the final
 model over family, votes and neighbouring characters, which becomes one Spark expression. Candidates that it
 accepts are added with their family as kind; base spans stay.
 
+The model of the labelers is identified by two assumptions: none of them is worse than chance (its vote for a span is
+at least as likely for true spans as for false ones, its vote against at most), and a span whose form speaks against it
+is false unless words before it name it. Such a span is not accepted either.
+
+Work in one text grows with its length and with the number n of its spans as n to the power 1.5 at most: running sums
+are made in blocks of about the square root of n, and context is taken from the pieces between matches.
+
 Null or empty texts have no spans. A candidate that overlaps a base span is not added. Without any span the
-classifier accepts nothing. Rows are judged one by one, so repeated rows have equal results.
+classifier accepts nothing. Rows are judged one by one, so repeated rows have equal results, and rows with a null doc_id
+are judged like others; an empty table gives no rows. Vote patterns that tie are one pattern. Only doc_id and text are
+read, so other columns' names do not matter.
 """
 
 from __future__ import annotations
@@ -29,6 +38,8 @@ FAMILIES = ("mail_words", "bank_account", "identity", "local_phone", "number")
 ROUNDS = 50
 #: Probability from which the classifier accepts a candidate.
 ACCEPT = 0.9
+#: Characters before a span that its context is taken from.
+CONTEXT = 40
 
 # Possessive quantifiers keep Java from backtracking; a match may start only where a run starts or a match has ended.
 _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -61,14 +72,40 @@ def _sql(text: str) -> str:
     return "r'" + text.replace("'", "\\x27") + "'" if "'" in text else f"r'{text}'"
 
 
+_SPAN = "STRUCT<s: INT, e: INT, v: STRING, l: STRING, r: STRING>"
+
+
+def _bound(value: str, name: str, body: str) -> str:
+    """body, in which `name` is the value, computed once a row."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _running(values: str, op: str) -> str:
+    """For each element of an array<int> (none negative) what `op` (sum or max) makes of all before it, 0 for the first.
+
+    Blocks of about the square root of the size keep the cost of appending low.
+    """
+    put = (lambda a, x: f"{a} + {x}") if op == "sum" else (lambda a, x: f"greatest({a}, {x})")
+    none = "CAST(array() AS ARRAY<INT>)"
+
+    def within(array: str, start: str) -> str:
+        return f"aggregate({array}, named_struct('at', {start}, 'out', {none}), (a, x) -> named_struct('at', {put('a.at', 'x')}, 'out', concat(a.out, array(a.at))), a -> a.out)"
+
+    width = "CAST(ceil(sqrt(size(z))) AS INT)"
+    blocks = f"transform(sequence(0, CAST((size(z) - 1) div {width} AS INT)), b -> slice(z, b * {width} + 1, {width}))"
+    totals = f"transform(w, b -> aggregate(b, 0, (a, x) -> {put('a', 'x')}))"
+    joined = f"flatten(zip_with(w, {within(totals, '0')}, (b, o) -> {within('b', 'o')}))"
+    return _bound(values, "z", f"CASE WHEN size(z) = 0 THEN {none} ELSE {_bound(blocks, 'w', joined)} END")
+
+
 def _found(pattern: str) -> str:
-    """array<struct<s, e, v>> of the leftmost non-overlapping matches in `text`."""
-    none = "CAST(array() AS ARRAY<STRUCT<s: INT, e: INT, v: STRING>>)"
-    take = "named_struct('s', a.at + length(x.p), 'e', a.at + length(x.p) + length(x.m), 'v', x.m)"
-    return f"""aggregate(arrays_zip(split(text, {_sql(pattern)}, -1) AS p, regexp_extract_all(text, {_sql(pattern)}, 0) AS m),
-        named_struct('at', 0, 'out', {none}),
-        (a, x) -> named_struct('at', a.at + coalesce(length(x.p), 0) + coalesce(length(x.m), 0), 'out', CASE WHEN x.m IS NULL THEN a.out ELSE concat(a.out, array({take})) END),
-        a -> a.out)""".replace(f"arrays_zip(split(text, {_sql(pattern)}, -1) AS p, regexp_extract_all(text, {_sql(pattern)}, 0) AS m)", f"zip_with(split(text, {_sql(pattern)}, -1), regexp_extract_all(text, {_sql(pattern)}, 0), (p, m) -> named_struct('p', p, 'm', m))")
+    """The leftmost non-overlapping matches in `text`: where they are, what they are, and what is left and right of them."""
+    lists = f"named_struct('p', split(text, {_sql(pattern)}, -1), 'm', regexp_extract_all(text, {_sql(pattern)}, 0))"
+    left = f"right(concat(coalesce(get(y.p, i - 1), ''), coalesce(get(y.m, i - 1), ''), get(y.p, i)), {CONTEXT})"
+    side = "left(concat(get(y.p, i + 1), coalesce(get(y.m, i + 1), '')), 1)"
+    each = _bound(lists, "y", f"transform(y.m, (m, i) -> named_struct('n', length(get(y.p, i)), 'v', m, 'l', {left}, 'r', {side}))")
+    starts = _running("transform(q, x -> x.n + length(x.v))", "sum")
+    return _bound(each, "q", f"zip_with(q, {starts}, (x, o) -> CAST(named_struct('s', o + x.n, 'e', o + x.n + length(x.v), 'v', x.v, 'l', x.l, 'r', x.r) AS {_SPAN}))")
 
 
 def _digits(v: str) -> str:
@@ -91,7 +128,7 @@ _PASS = {
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with one array of spans for each base kind, and the loose candidates."""
-    none = "CAST(array() AS ARRAY<STRUCT<s: INT, e: INT, v: STRING>>)"
+    none = f"CAST(array() AS ARRAY<{_SPAN}>)"
     patterns = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE, "loose": "|".join(f"(?:{p})" for p in _LOOSE.values())}
     out = docs.selectExpr("doc_id", "coalesce(text, '') AS text")
     out = out.select("doc_id", "text", *(F.expr(f"CASE WHEN text RLIKE {_sql(_MAY[k])} THEN {_found(p)} ELSE {none} END").alias(f"all_{k}") for k, p in patterns.items()))
@@ -105,8 +142,8 @@ def _family(v: str) -> str:
 
 
 def _votes(x: str) -> str:
-    """family:form:gazetteer:context:variety:company:before:after of a span x (s, e, v, family, base) in text."""
-    v, digits, before = f"{x}.v", _digits(f"{x}.v"), f"lower(substring(text, greatest({x}.s - 39, 1), least(40, {x}.s)))"
+    """family:form:gazetteer:context:variety:company:before:after of a span x (s, e, v, l, r, family, base)."""
+    v, digits, before = f"{x}.v", _digits(f"{x}.v"), f"lower({x}.l)"
     form = f"""CASE WHEN {x}.base THEN 1 WHEN {x}.family = 'identity' THEN CASE WHEN {v} RLIKE '^(?:000|666|9)|-00-|-0000$' THEN -1 ELSE 1 END
         WHEN {x}.family = 'local_phone' THEN CASE WHEN {v} RLIKE '^[(]?[01]' THEN 0 WHEN {v} RLIKE r'^\\(|([-. ])[0-9]{{3}}\\1' THEN 1 ELSE 0 END
         WHEN {x}.family = 'bank_account' THEN CASE WHEN length(replace({v}, ' ', '')) BETWEEN 15 AND 34 THEN 1 ELSE -1 END
@@ -120,31 +157,50 @@ def _votes(x: str) -> str:
     context = f"CASE WHEN {before} RLIKE {_sql(_BEFORE_YES)} THEN 1 WHEN {before} RLIKE {_sql(_BEFORE_NO)} THEN -1 ELSE 0 END"
     different = f"size(array_distinct(split({digits}, '')))"
     variety = f"CASE WHEN {x}.family IN ('email', 'mail_words') THEN 0 WHEN {different} <= 2 THEN -1 WHEN {different} >= 5 THEN 1 ELSE 0 END"
-    company = f"CASE WHEN size(base) > CASE WHEN {x}.base THEN 1 ELSE 0 END THEN 1 ELSE 0 END"
+    company = f"CASE WHEN n_base > CASE WHEN {x}.base THEN 1 ELSE 0 END THEN 1 ELSE 0 END"
     side = lambda at: f"CASE WHEN {at} RLIKE r'^\\s?$' THEN 's' WHEN {at} RLIKE '^[0-9A-Za-z]' THEN 'w' ELSE 'm' END"
-    left = f"CASE WHEN {x}.s = 0 THEN 's' ELSE {side(f'substring(text, {x}.s, 1)')} END"
-    return f"concat_ws(':', {x}.family, {form}, {gazetteer}, {context}, {variety}, {company}, {left}, {side(f'substring(text, {x}.e + 1, 1)')})"
+    left = f"CASE WHEN {x}.s = 0 THEN 's' ELSE {side(f'right({x}.l, 1)')} END"
+    return f"concat_ws(':', {x}.family, {form}, {gazetteer}, {context}, {variety}, {company}, {left}, {side(f'{x}.r')})"
+
+
+def _free() -> str:
+    """Of all spans (`every`, sorted by place) the base spans and those that overlap none: nothing reaches over their start,
+    and the next base span starts at their end or later."""
+    before = _running("transform(every, x -> CASE WHEN x.base THEN x.e ELSE 0 END)", "max")
+    after = _running("transform(reverse(every), x -> CASE WHEN x.base THEN 2147483647 - x.s ELSE 0 END)", "max")
+    edges = f"zip_with({before}, reverse({after}), (x, y) -> named_struct('reach', x, 'next', 2147483647 - y))"
+    both = f"zip_with(every, {edges}, (x, o) -> CASE WHEN x.base OR (o.reach <= x.s AND o.next >= x.e) THEN x END)"
+    return f"filter({both}, x -> x IS NOT NULL)"
 
 
 def spanned(docs: DataFrame) -> DataFrame:
     """doc_id, n_<kind>, base (sorted spans s, k, e), and spans with their votes; one pass over the texts."""
     rows = base_spans(docs)
     parts = ", ".join(f"transform({k}, x -> named_struct('s', x.s, 'k', {i}, 'e', x.e))" for i, k in enumerate(KINDS))
-    rows = rows.select("*", F.expr(f"array_sort(concat({parts}))").alias("base"))
-    own = ", ".join(f"transform({k}, x -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'family', '{k}', 'base', true))" for k in KINDS)
-    loose = f"""transform(filter(all_loose, x -> NOT exists(base, b -> b.s < x.e AND x.s < b.e)),
-        x -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'family', {_family('x.v')}, 'base', false))"""
-    rows = rows.select("doc_id", "text", "base", *(F.expr(f"CAST(size({k}) AS BIGINT)").alias(f"n_{k}") for k in KINDS), F.expr(f"concat({own}, {loose})").alias("every"))
-    seen = f"transform(every, x -> named_struct('s', x.s, 'e', x.e, 'family', x.family, 'base', x.base, 'seen', {_votes('x')}))"
-    return rows.select("doc_id", "base", *(f"n_{k}" for k in KINDS), F.expr(f"CASE WHEN size(every) = 0 THEN CAST(array() AS ARRAY<STRUCT<s: INT, e: INT, family: STRING, base: BOOLEAN, seen: STRING>>) ELSE {seen} END").alias("spans"))
+    span = lambda family, base: f"named_struct('s', x.s, 'e', x.e, 'v', x.v, 'l', x.l, 'r', x.r, 'family', {family}, 'base', {base})"
+    own = ", ".join(f"transform({k}, x -> {span(repr(k), 'true')})" for k in KINDS)
+    loose = f"transform(all_loose, x -> {span(_family('x.v'), 'false')})"
+    every = f"array_sort(concat({own}, {loose}))"
+    rows = rows.select("doc_id", F.expr(f"array_sort(concat({parts}))").alias("base"), *(F.expr(f"CAST(size({k}) AS BIGINT)").alias(f"n_{k}") for k in KINDS), F.expr(every).alias("every"))
+    rows = rows.select("*", F.expr("size(base)").alias("n_base"), F.expr(f"CASE WHEN size(base) IN (0, size(every)) THEN every ELSE {_free()} END").alias("free"))
+    seen = f"transform(free, x -> named_struct('s', x.s, 'e', x.e, 'family', x.family, 'base', x.base, 'seen', {_votes('x')}))"
+    none = "CAST(array() AS ARRAY<STRUCT<s: INT, e: INT, family: STRING, base: BOOLEAN, seen: STRING>>)"
+    return rows.select("doc_id", "base", *(f"n_{k}" for k in KINDS), F.expr(f"CASE WHEN size(free) = 0 THEN {none} ELSE {seen} END").alias("spans"))
 
 
 LABELERS = 5
+#: Places of the labelers for form and context among the votes.
+FORM, WORDS = 0, 2
+
+
+def _denied(votes: tuple[int, ...]) -> bool:
+    """Whether the form speaks against a span and no words before it speak for it."""
+    return votes[FORM] < 0 and votes[WORDS] <= 0
 
 
 def reliabilities(counts: dict[tuple[int, ...], int]) -> tuple[float, list[dict[int, tuple[float, float]]], dict[tuple[int, ...], float]]:
     """Expectation-maximisation over vote patterns: prior, P(vote | true or false) of each labeler, and soft labels."""
-    soft = {v: min(0.95, max(0.05, 0.5 + 0.15 * sum(v))) for v in counts}
+    soft = {v: 0.0 if _denied(v) else min(0.95, max(0.05, 0.5 + 0.15 * sum(v))) for v in counts}
     prior, tables = 0.5, []
     for _ in range(ROUNDS):
         total = sum(counts.values()) + 2
@@ -156,8 +212,13 @@ def reliabilities(counts: dict[tuple[int, ...], int]) -> tuple[float, list[dict[
                 yes[v[j]] += soft[v] * n
                 no[v[j]] += (1 - soft[v]) * n
             a, b = sum(yes.values()), sum(no.values())
-            tables.append({k: (yes[k] / a, no[k] / b) for k in yes})
+            table = {k: (yes[k] / a, no[k] / b) for k in yes}
+            if table[1][0] < table[1][1] or table[-1][0] > table[-1][1]:  # worse than chance: its votes say nothing
+                table = {k: ((yes[k] + no[k]) / (a + b),) * 2 for k in yes}
+            tables.append(table)
         for v in counts:
+            if _denied(v):
+                continue
             odds = math.log(prior / (1 - prior)) + sum(math.log(tables[j][x][0] / tables[j][x][1]) for j, x in enumerate(v))
             soft[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
     return prior, tables, soft
@@ -190,7 +251,8 @@ def classifier(bias: float, weights: list[dict[str, float]], seen: str = "x.seen
     for j, table in enumerate(weights):
         cases = " ".join(f"WHEN '{v}' THEN {w!r}D" for v, w in sorted(table.items()))
         terms.append(f"(CASE split({seen}, ':')[{j}] {cases} ELSE 0D END)")
-    return f"({' + '.join(terms)}) >= {math.log(ACCEPT / (1 - ACCEPT))!r}D"
+    denied = f"split({seen}, ':')[{1 + FORM}] = '-1' AND split({seen}, ':')[{1 + WORDS}] <> '1'"
+    return f"NOT ({denied}) AND ({' + '.join(terms)}) >= {math.log(ACCEPT / (1 - ACCEPT))!r}D"
 
 
 def found(docs: DataFrame) -> DataFrame:
