@@ -15,7 +15,7 @@ BITS = 64
 
 
 def content_hash(text: Column) -> Column:
-    """SHA-1 (hex) of the normal form, so that case and punctuation do not matter."""
+    """SHA-1 (hex) of the normal form, so that case, punctuation and decomposed letters do not matter."""
     return F.sha1(normalized(text))
 
 

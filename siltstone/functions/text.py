@@ -45,31 +45,38 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def composed(text: Column | str) -> Column:
-    """Unicode normal form C. Only rows that hold a combining mark go to Python; Spark has no built-in form."""
+@cache
+def _nfc():
+    """One function for all plans, so that equal plans stay equal and share their exchanges."""
 
     @F.pandas_udf("string")
     def nfc(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
+    return nfc
+
+
+def composed(text: Column | str) -> Column:
+    """Unicode normal form C. Only texts that hold a combining mark go to Python (null goes for the others); Spark has no
+    built-in form. Not for use within lambdas."""
     text = _of(text)
     marked = text.rlike(r"\p{M}")
-    return F.when(marked, nfc(F.when(marked, text))).otherwise(text)
+    return F.when(marked, _nfc()(F.when(marked, text))).otherwise(text)
 
 
 def normalized(text: Column | str) -> Column:
-    """Lower case; every run of other than word characters becomes one space; trimmed."""
-    return F.trim(F.regexp_replace(F.lower(_of(text)), NOT_WORD, " "))
+    """Composed and in lower case; every run of other than word characters becomes one space; trimmed."""
+    return F.trim(F.regexp_replace(F.lower(composed(text)), NOT_WORD, " "))
 
 
 def words(text: Column | str) -> Column:
     """The words of the normal form, in order; an empty text has none."""
-    return F.filter(F.split(F.lower(_of(text)), NOT_WORD), lambda w: w != "")
+    return F.filter(F.split(F.lower(composed(text)), NOT_WORD), lambda w: w != "")
 
 
 def tokens(text: Column | str, stop: Iterable[str] = STOP_WORDS, segment=None) -> Column:
     """Words that are no stop words. `segment` (Column -> Column) may join compounds of the raw text first."""
-    raw = segment(_of(text)) if segment else _of(text)
+    raw = segment(composed(text)) if segment else composed(text)
     unwanted = ["", *sorted(stop)]
     return F.filter(F.split(F.lower(raw), NOT_WORD), lambda w: ~w.isin(unwanted))
 
@@ -93,8 +100,8 @@ def segmenter(compounds: Iterable[str]):
 
 
 def syllables(text: Column | str) -> Column:
-    """Word runs of the lower-cased text; stop words stay."""
-    return F.regexp_extract_all(F.lower(_of(text)), F.lit(f"({WORD})"), 1)
+    """Word runs of the composed, lower-cased text; stop words stay."""
+    return F.regexp_extract_all(F.lower(composed(text)), F.lit(f"({WORD})"), 1)
 
 
 def ngrams(items: Column, n: int) -> Column:
@@ -153,8 +160,14 @@ def recased(restored: Column, original: Column) -> Column:
 
 
 def half_stripped(text: Column | str, key: Column, seed: int = 42, percent: int = 50) -> Column:
-    """The text with about `percent` of its words folded; which ones follows from seed, key and place alone."""
-    chance = lambda i: F.pmod(F.xxhash64(F.lit(seed), key, i), F.lit(100)) < percent
+    """The text with about `percent` of its words folded; which ones follows from seed, key (an integer) and place alone."""
+    base = F.pmod(key, F.lit(65521)).cast("long") * 31 + seed
+
+    def chance(i: Column) -> Column:
+        """The middle bits of a multiplicative hash; all products stay below 2**63."""
+        product = (base + i % 65521) * F.lit(2654435761).cast("long")
+        return F.shiftright(F.pmod(product, F.lit(1 << 32)), 16) % 100 < percent
+
     return F.array_join(F.transform(parts(text), lambda p, i: F.when(chance(i), folded(p)).otherwise(p)), "")
 
 

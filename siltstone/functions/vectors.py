@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from .text import bound
+
 
 def dot(a: Column, b: Column) -> Column:
     """The dot product in double precision, summed from left to right."""
@@ -15,7 +17,7 @@ def dot(a: Column, b: Column) -> Column:
 def l2_normalized(v: Column) -> Column:
     """The vector divided by its length; a zero vector stays."""
     norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
+    return bound(F.when(norm == 0, 1.0).otherwise(norm), lambda size: F.transform(v, lambda x: x.cast("double") / size))
 
 
 def idf(n_docs: Column, df: Column) -> Column:

@@ -6,22 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import dense, fusion, restoring, sparse
+from . import dense, fusion, sparse
 
 DEPTH = 100
 
 
 def answers(
-    queries: DataFrame, articles: DataFrame, index: sparse.Index, model: restoring.Model | None = None, vectors: DataFrame | None = None,
+    queries: DataFrame, articles: DataFrame, index: sparse.Index, restored: DataFrame | None = None, vectors: DataFrame | None = None,
     query_vectors: DataFrame | None = None, alpha: float = 0.75, k: int = 3, k1: float = 0.6, b: float = 0.9, chars: int = 600,
 ) -> DataFrame:
     """query_id, asked, used, is_restored, rank, article_id, title, score, snippet, terms, n_terms for the k best articles.
 
-    Without vectors the search is BM25 alone. The snippet is of the article's nearest chunk if vectors come with text,
+    `restored` (query_id, text, restored) has the queries with accents set, which then are what is searched for; without
+    it they are taken as they are. Without vectors the search is BM25 alone. The snippet is of the article's nearest chunk if vectors come with text,
     else of the article.
     """
-    if model is not None:
-        asked = restoring.restored(queries, model).select("query_id", F.col("text").alias("asked"), F.col("restored").alias("used"))
+    if restored is not None:
+        asked = restored.select("query_id", F.col("text").alias("asked"), F.col("restored").alias("used"))
     else:
         asked = queries.select("query_id", F.col("text").alias("asked"), F.col("text").alias("used"))
     used = asked.select("query_id", F.col("used").alias("text"))

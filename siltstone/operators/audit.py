@@ -61,21 +61,17 @@ def crowded_bands(codes: DataFrame, bands: int = 8, most: int = 2000) -> DataFra
 
 
 def near_queries(a: DataFrame, b: DataFrame, n: int = QUESTION_GRAM, least: float = QUESTION_JACCARD) -> DataFrame:
-    """id_a, id_b, jaccard (four decimals) of queries of a and b (query_id, text) whose sets of n-grams have that similarity.
+    """id_a, id_b, jaccard (four decimals): queries of a and b (query_id, text) whose sets of n-grams have that similarity.
 
-    Sets that are alike enough share one of their rarest grams: of a set of m, one of the m - ceil(least * m) + 1 rarest.
-    Only these are joined, so that frequent grams make no pairs; candidates are confirmed on whole sets. Queries with
-    equal sets are one class before that, and classes are expanded at the end.
+    Queries of one side with equal sets are one class, which its least id stands for; `query_classes` gives the members,
+    so that copies are not expanded into all pairs. Sets that are alike enough share one of their rarest grams: of a set of m, one of the m - ceil(least * m) + 1 rarest.
+    Only these are joined, so that frequent grams make no pairs; candidates are confirmed on whole sets.
     """
 
-    def classes(rows: DataFrame) -> DataFrame:
-        grams = F.array_sort(T.ngrams(T.tokens("text"), n))
-        return rows.select("query_id", grams.alias("grams")).where(F.size("grams") > 0).withColumn("set_id", F.sha1(F.array_join("grams", "\n")))
-
     def sets(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("set_id").agg(F.first("grams").alias("grams"))
+        return rows.groupBy("set_id").agg(F.first("grams").alias("grams"), F.min("query_id").alias("id"))
 
-    left, right = classes(a), classes(b)
+    left, right = _gram_sets(a, n), _gram_sets(b, n)
     every = sets(left.union(right))
     often = every.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
 
@@ -89,10 +85,23 @@ def near_queries(a: DataFrame, b: DataFrame, n: int = QUESTION_GRAM, least: floa
     near = rare(one, "x").join(rare(two, "y"), "gram").where(F.least("m_x", "m_y") >= least * F.greatest("m_x", "m_y")).select("x", "y").distinct()
     both = near.join(one.select(F.col("set_id").alias("x"), F.col("grams").alias("gx")), "x").join(two.select(F.col("set_id").alias("y"), F.col("grams").alias("gy")), "y")
     pairs = both.withColumn("jaccard", H.jaccard(F.col("gx"), F.col("gy"))).where(F.col("jaccard") >= least).select("x", "y", F.round("jaccard", 4).alias("jaccard"))
-    ids_a, ids_b = left.select(F.col("set_id").alias("x"), F.col("query_id").alias("id_a")), right.select(F.col("set_id").alias("y"), F.col("query_id").alias("id_b"))
+    ids_a, ids_b = one.select(F.col("set_id").alias("x"), F.col("id").alias("id_a")), two.select(F.col("set_id").alias("y"), F.col("id").alias("id_b"))
     return pairs.join(ids_a, "x").join(ids_b, "y").select("id_a", "id_b", "jaccard")
 
 
+def _gram_sets(rows: DataFrame, n: int) -> DataFrame:
+    """query_id, grams and set_id of the queries that have a token."""
+    grams = F.array_sort(T.ngrams(T.tokens("text"), n))
+    return rows.select("query_id", grams.alias("grams")).where(F.size("grams") > 0).withColumn("set_id", F.sha1(F.array_join("grams", "\n")))
+
+
+def query_classes(rows: DataFrame, n: int = QUESTION_GRAM) -> DataFrame:
+    """query_id and class_id, the least id among the queries (query_id, text) with the same set of n-grams; those without
+    a token are left out."""
+    each = _gram_sets(rows, n).select("query_id", "set_id")
+    return each.join(each.groupBy("set_id").agg(F.min("query_id").alias("class_id")), "set_id").select("query_id", "class_id")
+
+
 def same_ids(a: DataFrame, b: DataFrame, column: str = "query_id") -> DataFrame:
     """Ids that occur in both, with kind `same_id`."""
     return a.select(column).distinct().join(b.select(column).distinct(), column, "left_semi").withColumn("kind", F.lit("same_id"))
@@ -161,10 +170,13 @@ def conflicting_gold(train: DataFrame, test: DataFrame) -> DataFrame:
 
 def gold_twins(gold: DataFrame, groups: DataFrame) -> DataFrame:
     """query_id, article_id, n_twins, first_twin: gold articles that have exact copies."""
-    groups = groups.select("article_id", "dup_group")
-    twins = groups.select(F.col("article_id").alias("twin"), "dup_group")
-    rows = gold.select("query_id", "article_id").distinct().join(groups, "article_id").join(twins, "dup_group").where("twin <> article_id")
-    return rows.groupBy("query_id", "article_id").agg(F.count("*").alias("n_twins"), F.min("twin").alias("first_twin"))
+    groups = groups.select("article_id", "dup_group").distinct()
+    # the number and the two least ids of a group say all that is asked, so that its members are never listed
+    sizes = groups.groupBy("dup_group").agg(F.count("*").alias("n"), F.min("article_id").alias("one")).where("n > 1")
+    second = groups.join(sizes, "dup_group").where("article_id <> one").groupBy("dup_group").agg(F.min("article_id").alias("two"))
+    rows = gold.select("query_id", "article_id").distinct().join(groups, "article_id").join(sizes, "dup_group").join(second, "dup_group")
+    twin = F.when(F.col("article_id") == F.col("one"), F.col("two")).otherwise(F.col("one"))
+    return rows.select("query_id", "article_id", (F.col("n") - 1).alias("n_twins"), twin.alias("first_twin"))
 
 
 def leaks(parts: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Restoring accents with a bigram model: counts as tables, best paths by Viterbi.
 
 Training is grouped counts in the JVM. Decoding goes from left to right over each word's spellings, in
-Arrow batches. Joins pick the counts that the given texts may need; only these, up to a stated number, go to the tasks.
+Arrow batches. Joins pick the counts that the given texts may need; only these go to the tasks, for blocks of texts that
+are made smaller until a block needs no more than a stated number.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from ..sources import tables
 
 WEIGHT = 0.9
 WEIGHTS = (0.5, 0.7, 0.8, 0.9, 0.95, 0.99)
-#: Pairs that may be sent to the tasks.
+#: Counts that may be sent to the tasks at once; texts that need more are restored in smaller blocks.
 SENT = 1_000_000
+#: Parts that a block is cut into.
+BLOCKS = 8
 
 
 @dataclass
@@ -126,25 +129,37 @@ def _relevant(rows: DataFrame, model: Model) -> tuple[DataFrame, DataFrame, Data
 
 def restored(texts: DataFrame, model: Model, weights: tuple[float, ...] = (WEIGHT,), column: str = "text") -> DataFrame:
     """texts with `weight` and `restored`, one row for each weight: accents set by the most likely path, other characters
-    and the case of the input kept. A null text counts as empty.
+    and the case of the input kept. A null text counts as empty; letters are composed.
 
-    The queries are a stated set. The counts that their words may need are selected by joins; they must have at most
-    `SENT` pairs, or the call fails and the set is to be cut into blocks.
+    The queries are a stated set. The counts that their words may need are selected by joins. Where they are more than
+    `SENT`, the texts are cut into blocks by their hash, and those again; a block of one text is restored whatever it
+    needs.
     """
-    pieces = T.parts(column)
-    rows = texts.withColumn("__parts", pieces)
+    rows = texts.withColumn("__parts", T.parts(T.composed(column)))
     lower = F.transform(F.filter("__parts", lambda p: p.rlike(T.WORD)), F.lower)
     rows = rows.withColumn("__s", lower).withColumn("__plain", F.transform("__s", T.folded))
-    counts, pairs, forms = _relevant(rows.select(F.col("__s").alias("s"), F.col("__plain").alias("plain")), model)
-    found = pairs.limit(SENT + 1).collect()
-    if len(found) > SENT:
-        raise ValueError(f"the queries' words have over {SENT} pairs in the model; restore them in smaller blocks")
-    totals = model.totals.first()
+    totals, out, todo = model.totals.first(), None, [(rows, 1, 0)]
+    while todo:
+        some, blocks, number = todo.pop()
+        counts, pairs, forms = _relevant(some.select(F.col("__s").alias("s"), F.col("__plain").alias("plain")), model)
+        found = pairs.limit(SENT + 1).collect()
+        if len(found) > SENT and some.select("__s").distinct().limit(2).count() > 1:
+            hashed = F.pmod(F.xxhash64("__s"), F.lit(blocks * BLOCKS))
+            todo += [(rows.where(hashed == k * blocks + number), blocks * BLOCKS, k * blocks + number) for k in range(BLOCKS)]
+            continue
+        found = pairs.collect() if len(found) > SENT else found
+        part = _decoded(some, counts, found, forms, totals, weights)
+        out = part if out is None else out.union(part)
+    return out.withColumn("restored", _rejoined(F.col("__parts"), F.col("__words"))).drop("__parts", "__words")
+
+
+def _decoded(rows: DataFrame, counts: DataFrame, found: list, forms: DataFrame, totals, weights: tuple[float, ...]) -> DataFrame:
+    """rows with `weight` and the words of their best paths, by the counts that they need."""
     by_plain: dict[str, list[str]] = {}
     for r in forms.select("plain", "w").collect():
         by_plain.setdefault(r.plain, []).append(r.w)
     decoder = Decoder({r.w: r.c for r in counts.collect()}, {(r.w1, r.w2): r.c for r in found}, by_plain, totals.n_words, totals.n_forms)
-    shared = texts.sparkSession.sparkContext.broadcast(decoder)
+    shared = rows.sparkSession.sparkContext.broadcast(decoder)
     kept = [f for f in rows.schema.fields if f.name not in ("__s", "__plain")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "weight double", "__words array<string>"])
 
@@ -157,8 +172,7 @@ def restored(texts: DataFrame, model: Model, weights: tuple[float, ...] = (WEIGH
                 columns = [batch.column(f.name) for f in kept]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([weight] * len(best), pa.float64()), pa.array(best, pa.list_(pa.string()))], names=[*(f.name for f in kept), "weight", "__words"])
 
-    out = rows.select(*(f.name for f in kept), "__s", "__plain").mapInArrow(run, schema)
-    return out.withColumn("restored", _rejoined(F.col("__parts"), F.col("__words"))).drop("__parts", "__words")
+    return rows.select(*(f.name for f in kept), "__s", "__plain").mapInArrow(run, schema)
 
 
 def _rejoined(parts: Column, words: Column) -> Column:

@@ -10,12 +10,22 @@ from ..operators import audit, dense, ranking, sparse
 
 #: Settings of the published search: BM25, fusion depth.
 K1, B, DEPTH, TOP = 0.6, 0.9, 100, 10
-CHUNK_TOP = 100
+CHUNK_TOP = dense.CHUNK_TOP
+#: Shared results that stay persisted at a time.
+KEPT = 12
+
+_kept: list[DataFrame] = []
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """A small result (a few rows a query) that plans use more than once: kept by the executors, made again if one is lost."""
-    return df.persist()
+    """A small result (a few rows a query) that plans use more than once: kept by the executors, made again if one is
+    lost. The last `KEPT` stay; older ones are given up, and made again should a plan still use them."""
+    _kept.append(df.persist())
+    while len(_kept) > KEPT:
+        old = _kept.pop(0)
+        if not old.sparkSession.sparkContext._jsc.sc().isStopped():
+            old.unpersist()
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -74,12 +74,13 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "documents").select("doc_id", T.snippet("text").alias("snippet"))
 
 
-@query()
+@query(f"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), lambda p, i:
+    CASE WHEN ((((doc_id % 65521) * 31 + 42 + i - 1) * 2654435761) % 4294967296 >> 16) % 100 < 50 THEN {Q.fold('p')} ELSE p END), '') AS text FROM documents""")
 def half_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "documents").select("doc_id", T.half_stripped("text", F.col("doc_id")).alias("text"))
 
 
-@query()
+@query(f"WITH RECURSIVE {Q.CHUNKS} SELECT article_id || '#' || chunk_no AS chunk_id, article_id, chunk_no, text FROM chunks")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(P.articles(spark, sf_dir).withColumn("title", F.col("document")))
 
@@ -113,16 +114,29 @@ def crowded_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.crowded_bands(audit.simhash_codes(P.articles(spark, sf_dir), T.tokens("text")), most=10)
 
 
-_LINES = f"(SELECT doc_id AS id, split_part(coalesce(text, ''), chr(10), 1) AS text FROM documents WHERE doc_id % 2 = "
+_SPLIT = """split AS (SELECT doc_id AS query_id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) <= round_even(count(*) OVER () * 0.2, 0) THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT doc_id FROM documents))"""
+_SETS = f"sets AS (SELECT doc_id AS id, split, {Q.grams(Q.TOKENS, 3)} AS g FROM documents JOIN split ON query_id = doc_id)"
+
+
+def _split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, text and split of all documents."""
+    rows = P.articles(spark, sf_dir).select(F.col("article_id").alias("query_id"), "text")
+    return rows.join(split_queries(spark, sf_dir), "query_id")
 
 
-@query(f"""WITH a AS (SELECT id, {Q.grams(Q.TOKENS, 3)} AS g FROM {_LINES} 0)), b AS (SELECT id, {Q.grams(Q.TOKENS, 3)} AS g FROM {_LINES} 1)),
-    p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.g, b.g)) AS c, len(a.g) AS na, len(b.g) AS nb FROM a JOIN b ON list_has_any(a.g, b.g))
+@query(f"""WITH {_SPLIT}, {_SETS}, classes AS (SELECT split, list_sort(g) AS g, min(id) AS id FROM sets WHERE len(g) > 0 GROUP BY 1, 2), each AS (SELECT split, id, len(g) AS n, unnest(g) AS s FROM classes),
+    p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM each a JOIN each b ON a.s = b.s WHERE a.split = 'train' AND b.split = 'val' GROUP BY 1, 2)
     SELECT id_a, id_b, round(c / (na + nb - c), 4) AS jaccard FROM p WHERE c / (na + nb - c) >= 0.8""")
 def near_dup_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents with even ids that are alike to those with odd ids: two sets of short texts."""
-    rows = P.articles(spark, sf_dir).select(F.col("article_id").alias("query_id"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("text"))
-    return audit.near_queries(rows.where("query_id % 2 = 0"), rows.where("query_id % 2 = 1"))
+    """Whole texts of the train split that are alike to those of the validation split, by class representatives."""
+    rows = _split_texts(spark, sf_dir)
+    return audit.near_queries(rows.where("split = 'train'"), rows.where("split = 'val'"))
+
+
+@query(f"WITH {_SPLIT}, {_SETS} SELECT id AS query_id, min(id) OVER (PARTITION BY list_sort(g)) AS class_id FROM sets WHERE len(g) > 0")
+def near_dup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of texts with the same set of n-grams that each document is a member of."""
+    return audit.query_classes(P.articles(spark, sf_dir).select(F.col("article_id").alias("query_id"), "text"))
 
 
 @query(f"""WITH c AS (SELECT doc_id, source, {Q.WORD_COUNT} AS n FROM documents), s AS (SELECT count(*)::DOUBLE AS articles, count(DISTINCT doc_id)::DOUBLE AS article_ids, count(DISTINCT source)::DOUBLE AS documents,
@@ -138,9 +152,12 @@ def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.length_histogram(P.articles(spark, sf_dir))
 
 
-@query("SELECT doc_id FROM documents WHERE trim(coalesce(text, '')) = ''")
+@query(r"SELECT doc_id FROM documents WHERE regexp_full_match(CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END, '\s*')")
 def empty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.empty_articles(P.articles(spark, sf_dir)).select(F.col("article_id").alias("doc_id"))
+    """Documents without a body: a first line is their title, and what comes after it is the text."""
+    body = F.when(F.contains("text", F.lit("\n")), F.substring_index("text", "\n", 1)).otherwise(F.coalesce("text", F.lit("")))
+    rows = P.articles(spark, sf_dir).select("article_id", F.substr(F.coalesce("text", F.lit("")), F.length(body) + 1).alias("text"))
+    return audit.empty_articles(rows).select(F.col("article_id").alias("doc_id"))
 
 
 @query("""SELECT conv_id AS query_id, count(*) AS n_rows, count(DISTINCT text) AS n_texts, min_by(text, turn) AS first_text FROM conversations GROUP BY 1 HAVING count(*) > 1""")
@@ -154,14 +171,11 @@ def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.same_ids(ids("documents"), ids("labels"))
 
 
-_WORD = f"{Q.SYLLABLES}[3]"
-
-
-@query(f"""WITH c AS (SELECT {_WORD} AS variant, count(*) AS n_articles FROM documents WHERE {_WORD} IS NOT NULL GROUP BY 1), f AS (SELECT {Q.fold('variant')} AS folded, * FROM c)
+@query(f"""WITH c AS (SELECT variant, count(*) AS n_articles FROM (SELECT unnest({Q.SYLLABLES}) AS variant FROM documents) GROUP BY 1), f AS (SELECT {Q.fold('variant')} AS folded, * FROM c)
     SELECT folded, variant, n_articles FROM f WHERE folded IN (SELECT folded FROM f GROUP BY 1 HAVING count(*) > 1)""")
 def fold_duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Third words of documents that differ in nothing but accents."""
-    return audit.spelling_variants(P.articles(spark, sf_dir).withColumn("document", F.get(T.syllables("text"), F.lit(2))))
+    """Words of all texts that differ in nothing but accents, each taken for an id."""
+    return audit.spelling_variants(P.articles(spark, sf_dir).select(F.explode_outer(T.syllables("text")).alias("document")))
 
 
 @query(f"SELECT item_id AS query_id FROM benchmark WHERE {Q.fold('text')} = coalesce(text, '')")
@@ -169,12 +183,13 @@ def unaccented_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.unaccented(P.queries(spark, sf_dir)).select("query_id")
 
 
-@query(f"""WITH {Q.GOLD}, tr AS (SELECT query_id, list_sort(list(DISTINCT article_id)) AS l FROM gold WHERE article_id % 2 = 0 GROUP BY 1), te AS (SELECT query_id, list_sort(list(DISTINCT article_id)) AS l FROM gold WHERE article_id % 3 = 0 GROUP BY 1)
+@query(f"""WITH {Q.GOLD}, {_GROUPS}, more AS (SELECT DISTINCT g.query_id, t.article_id FROM gold g JOIN groups s USING (article_id) JOIN groups t USING (dup_group)),
+    tr AS (SELECT query_id, list_sort(list(DISTINCT article_id)) AS l FROM gold GROUP BY 1), te AS (SELECT query_id, list_sort(list(DISTINCT article_id)) AS l FROM more GROUP BY 1)
     SELECT query_id, array_to_string(tr.l, ',') AS train_gold, array_to_string(te.l, ',') AS test_gold, tr.l = te.l AS equal FROM tr JOIN te USING (query_id)""")
 def conflicting_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping halves of the gold as two splits."""
+    """The gold and the gold with copies of its articles, as two splits that share queries."""
     gold = P.gold(spark, sf_dir)
-    found = audit.conflicting_gold(gold.where("article_id % 2 = 0"), gold.where("article_id % 3 = 0"))
+    found = audit.conflicting_gold(gold, metrics.expanded_gold(gold, P.groups(spark, sf_dir)))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return found.select("query_id", joined("train_gold"), joined("test_gold"), "equal")
 
@@ -255,7 +270,7 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {Q.NEAREST} SELECT query_id, chunk_id, article_id, round(score, 6) AS score FROM nearest")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 100 nearest vectors of each query vector (ids divisible by 50, against all)."""
+    """The 500 nearest vectors of each query vector (ids divisible by 50, against all)."""
     return P.nearest(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
@@ -354,6 +369,17 @@ def pooling_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.recall_at(runs, gold, gold, 1, ("pooling",))
 
 
+_OWN = "g AS (SELECT vec_id AS query_id, label::BIGINT AS article_id FROM embeddings WHERE vec_id % 50 = 0)"
+
+
+@query(f"""WITH {Q.NEAREST}, m AS (SELECT query_id, article_id, max(score) AS mx, avg(score) AS mn FROM nearest GROUP BY 1, 2), both_ways AS (SELECT query_id, article_id, 'max' AS pooling, round(mx, 6) AS score FROM m UNION ALL SELECT query_id, article_id, 'mean', round(mn, 6) FROM m),
+    r AS (SELECT *, row_number() OVER (PARTITION BY pooling, query_id ORDER BY score DESC, article_id) AS rank FROM both_ways), {_OWN}
+    SELECT pooling FROM g JOIN r USING (query_id, article_id) GROUP BY 1 ORDER BY round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) DESC, pooling LIMIT 1""")
+def chosen_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The better way of pooling, looked up in the sweep (a report of one row)."""
+    return tuning.pooling_of(pooling_sweep(spark, sf_dir).withColumn("model", F.lit("vectors")), "vectors")
+
+
 @query(f"""WITH {_BOTH}, f AS (SELECT query_id, rank, article_id AS folded FROM plain WHERE rank <= 3)
     SELECT query_id, rank, article_id AS bm25, folded FROM (SELECT * FROM word WHERE rank <= 3) FULL JOIN f USING (query_id, rank)""")
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,6 +391,19 @@ def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- metrics ------------------------------------------------------------------------------------------------
 
 
+@query(f"WITH {Q.GOLD} SELECT item_id AS query_id, text FROM benchmark WHERE item_id IN (SELECT query_id FROM gold)")
+def guarded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries that have gold and results, through the guards that fail where one has not."""
+    asked = P.answerable(spark, sf_dir)
+    return metrics.require_results(metrics.require_gold(asked, P.gold(spark, sf_dir)), P.word_run(spark, sf_dir)).select("query_id", "text")
+
+
+@query("SELECT doc_id AS query_id, text FROM documents")
+def one_text_per_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, through the guard that fails where an id has two texts."""
+    return audit.require_one_text(P.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text")).select("query_id", "text")
+
+
 @query(f"WITH {Q.GOLD}, {Q.run('word')}, {Q.measures('word')} SELECT query_id, n_gold, {Q.rounded(6)} FROM measured")
 def metrics_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = metrics.per_query(P.word_run(spark, sf_dir), P.gold(spark, sf_dir), P.answerable(spark, sf_dir))
@@ -421,8 +460,6 @@ def gold_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- splits and training rows -------------------------------------------------------------------------------
 
-_SPLIT = """split AS (SELECT doc_id AS query_id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) <= round_even(count(*) OVER () * 0.2, 0) THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT doc_id FROM documents))"""
-
 
 @query(f"WITH {_SPLIT} SELECT * FROM split")
 def split_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,12 +473,13 @@ def split_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.split_distribution(split_queries(spark, sf_dir).join(labels, "query_id"))
 
 
-@query("""SELECT doc_id AS query_id, quality AS score, 'test' AS split FROM labels WHERE doc_id % 3 = 0
-    UNION ALL SELECT doc_id, quality, 'train' FROM labels WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0""")
+@query(f"""WITH {_SPLIT}, test AS (SELECT labels.*, split FROM labels LEFT JOIN split ON query_id = doc_id)
+    SELECT doc_id AS query_id, quality AS score, CASE WHEN split = 'val' THEN 'test' ELSE 'train' END AS split FROM test""")
 def remove_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping parts of the labels: what the test part has is dropped from the train part."""
+    """All labels for training and those of the validation split for tests: what the test part has is dropped from the train part."""
     rows = P.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("query_id"), F.col("quality").alias("score"))
-    return audit.require_disjoint(splitting.without_overlap(rows.where("query_id % 2 = 0"), rows.where("query_id % 3 = 0")))
+    test = rows.join(split_queries(spark, sf_dir).where("split = 'val'").select("query_id"), "query_id", "left_semi")
+    return audit.require_disjoint(splitting.without_overlap(rows, test))
 
 
 @query(f"WITH {_SPLIT}, every AS (SELECT * FROM split UNION ALL SELECT doc_id, 'test' FROM labels) SELECT x.split AS a, y.split AS b, (SELECT count(DISTINCT p.query_id) FROM every p JOIN every q USING (query_id) WHERE p.split = x.split AND q.split = y.split) AS n_common FROM (SELECT DISTINCT split FROM every) x JOIN (SELECT DISTINCT split FROM every) y ON x.split < y.split")
@@ -458,7 +496,9 @@ def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.hard_negatives(P.queries(spark, sf_dir), P.gold(spark, sf_dir), P.groups(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {Q.GOLD}, {Q.CHUNKS}, one AS (SELECT query_id, min(article_id) AS article_id FROM gold GROUP BY 1), asked AS (SELECT item_id AS query_id, list_distinct({Q.TOKENS}) AS q FROM benchmark),
+    o AS (SELECT query_id, article_id, chunk_no, len(list_intersect(q, {Q.TOKENS}))::BIGINT AS overlap FROM one JOIN asked USING (query_id) JOIN chunks USING (article_id))
+    SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, chunk_no) = 1""")
 def positive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = P.gold(spark, sf_dir)
     docs = P.articles(spark, sf_dir).withColumn("title", F.col("document")).join(gold.select("article_id").distinct(), "article_id", "left_semi")
@@ -467,13 +507,13 @@ def positive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- language model -----------------------------------------------------------------------------------------
 
-_LM = f"""s AS (SELECT doc_id, {Q.SYLLABLES} AS s FROM documents WHERE lang <> 'en'), words AS (SELECT w, count(*) AS c FROM (SELECT unnest(s) AS w FROM s) GROUP BY 1),
+_LM = f"""s AS (SELECT doc_id, {Q.SYLLABLES} AS s FROM documents), words AS (SELECT w, count(*) AS c FROM (SELECT unnest(s) AS w FROM s) GROUP BY 1),
     pairs AS (SELECT w1, w2, count(*) AS c FROM (SELECT unnest(list_slice(s, 1, len(s) - 1)) AS w1, unnest(list_slice(s, 2, len(s))) AS w2 FROM s WHERE len(s) > 1) GROUP BY 1, 2), totals AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM words)"""
 
 
 def _model(spark: SparkSession, sf_dir: str) -> restoring.Model:
-    """Learned from the documents that are not English, which have accents."""
-    return restoring.train(P.articles(spark, sf_dir).where("lang <> 'en'"))
+    """Learned from all documents."""
+    return restoring.train(P.articles(spark, sf_dir))
 
 
 @query(f"WITH {_LM} SELECT w, c FROM words")
@@ -540,6 +580,16 @@ def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuning.comparison(runs, P.gold(spark, sf_dir), P.answerable(spark, sf_dir))
 
 
+@query(f"""WITH {Q.GOLD}, {_BOTH}, {Q.measures('word', 'm1')}, {Q.measures('plain', 'm2')}, t AS (SELECT 'bm25' AS system, round(avg(recall_1), 6) AS recall, false AS contaminated FROM m1 UNION ALL SELECT 'folded', round(avg(recall_1), 6), true FROM m2)
+    SELECT system, recall, contaminated, NOT contaminated AS chosen FROM t""")
+def clean_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best system that is not contaminated, beside the best of the others; the folded index stands for one of these."""
+    gold, asked = P.gold(spark, sf_dir), P.answerable(spark, sf_dir)
+    runs = zip(("bm25", "folded"), _pair(spark, sf_dir), (False, True), strict=True)
+    one, two = (metrics.recall_at(run, gold, asked, 1).select(F.lit(name).alias("system"), "recall", F.lit(bad).alias("contaminated")) for name, run, bad in runs)
+    return tuning.select_clean(one.union(two))
+
+
 @query(f"""WITH {Q.GOLD}, {Q.run('word')}, {Q.run('syl', Q.SYLLABLES, 's_')}, {Q.run('plain', Q.syllables(Q.fold('text')), 'p_')}, {Q.measures('word', 'm1')}, {Q.measures('syl', 'm2')}, {Q.measures('plain', 'm3')}
     SELECT 'tokens' AS tokenisation, round(avg(recall_10), 4) AS recall_10 FROM m1 UNION ALL SELECT 'syllables', round(avg(recall_10), 4) FROM m2 UNION ALL SELECT 'folded', round(avg(recall_10), 4) FROM m3""")
 def tokenisation_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -551,22 +601,40 @@ def tokenisation_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all chunks by the stand-in encoder."""
+    cut = chunking.chunks(P.articles(spark, sf_dir).withColumn("title", F.col("document")))
+    return dense.encoded(cut, dense.hashing_encoder()).select("chunk_id", "article_id", "vector")
+
+
 @query()
 def robustness_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """form of the query (accented, half, folded) x treatment (none, restored, folded index) x recall at 10 of BM25."""
+    """form of the query x treatment x system, recall at 10: 18 rows, from one restoration and one search of each kind.
+
+    The forms and treatments of a query are queries of one set, with ids "<form>|<treatment>|<query_id>".
+    """
     asked, gold, docs = P.answerable(spark, sf_dir), P.gold(spark, sf_dir), P.articles(spark, sf_dir)
-    model, plain, rows = _model(spark, sf_dir), T.folded_syllables("text"), None
-    for form, text in (("accented", F.col("text")), ("half", T.half_stripped("text", F.col("query_id"))), ("folded", T.folded("text"))):
-        changed = asked.select("query_id", text.alias("text"))
-        fixed = restoring.restored(changed, model).select("query_id", F.col("restored").alias("text"))
-        for treatment, run in (
-            ("none", sparse.search(changed, docs, P.TOP, P.K1, P.B)),
-            ("restored", sparse.search(fixed, docs, P.TOP, P.K1, P.B)),
-            ("folded_index", sparse.search(changed, docs, P.TOP, P.K1, P.B, plain, plain)),
-        ):
-            row = metrics.recall_at(run, gold, asked).select(F.lit(form).alias("form"), F.lit(treatment).alias("treatment"), "recall")
-            rows = row if rows is None else rows.union(row)
-    return rows
+    forms = {"accented": F.col("text"), "half": T.half_stripped("text", F.col("query_id")), "folded": T.folded("text")}
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("form"), text.alias("text")) for name, text in forms.items())))
+    changed = asked.select("query_id", each.alias("x")).select("query_id", "x.form", "x.text")
+    fixed = restoring.restored(changed, _model(spark, sf_dir))
+    named = lambda rows, treatment, text: rows.select(F.concat_ws("|", "form", F.lit(treatment), "query_id").alias("query_id"), F.col(text).alias("text"))
+    every = P.shared(named(changed, "none", "text").union(named(fixed, "restored", "restored")))
+    plain, folded = T.folded_syllables("text"), named(changed.where("form = 'folded'"), "folded_index", "text")
+    vectors = P.shared(dense.encode_queries(every.union(folded), dense.hashing_encoder()))
+    runs = {"bm25": sparse.search(every, docs, P.DEPTH, P.K1, P.B), "dense": dense.search(vectors, _vectors(spark, sf_dir), P.DEPTH)}
+    runs = {name: P.shared(run) for name, run in runs.items()}
+    alone = P.shared(sparse.search(folded, docs, P.DEPTH, P.K1, P.B, plain, plain))
+    runs["fused"] = fusion.weighted(runs["bm25"], runs["dense"].where("query_id NOT LIKE '%|folded_index|%'"), 0.75, P.TOP)
+    runs["bm25_folded"], runs["fused_folded"] = alone, fusion.weighted(alone, runs["dense"].where("query_id LIKE '%|folded_index|%'"), 0.75, P.TOP)
+    rows = None
+    for system, run in runs.items():
+        part = run.where(F.col("rank") <= P.TOP).select(F.split("query_id", "[|]").alias("p"), "article_id", "rank")
+        part = part.select(F.lit(system).alias("system"), F.col("p")[0].alias("form"), F.col("p")[1].alias("treatment"), F.col("p")[2].cast("long").alias("query_id"), "article_id", "rank")
+        rows = part if rows is None else rows.union(part)
+    found = metrics.recall_at(rows, gold, asked, P.TOP, ("system", "form", "treatment"))
+    listed = "(treatment <> 'folded_index' OR system LIKE '%_folded') AND NOT (form = 'accented' AND treatment = 'restored' AND system <> 'fused')"
+    return found.where(listed)
 
 
 @query()
@@ -580,13 +648,14 @@ def restore_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restoring.effect(rows.select("complete", (F.col("before") == 1).alias("before"), (F.col("after") == 1).alias("after")))
 
 
-@query(f"""WITH {Q.GOLD}, {Q.run('word')}, hit AS (SELECT DISTINCT query_id FROM word JOIN gold USING (query_id, article_id) WHERE rank <= 1), one AS (SELECT query_id, min(article_id) AS gold_id FROM gold GROUP BY 1),
+@query(f"""WITH {Q.GOLD}, {Q.run('word')}, one AS (SELECT query_id, max(article_id) AS gold_id FROM gold GROUP BY 1), hit AS (SELECT query_id FROM word JOIN one USING (query_id) WHERE rank <= 1 AND article_id = gold_id),
     tops AS (SELECT query_id, max(source) FILTER (rank = 1) AS top_1, max(source) FILTER (rank = 2) AS top_2, max(source) FILTER (rank = 3) AS top_3 FROM word JOIN documents ON doc_id = article_id WHERE rank <= 3 GROUP BY 1)
     SELECT item_id AS query_id, text, gold_id, top_1, top_2, top_3 FROM benchmark JOIN one ON query_id = item_id LEFT JOIN tops USING (query_id) WHERE item_id NOT IN (SELECT query_id FROM hit)""")
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries whose first result is no gold, with the sources of the three best."""
+    """Queries whose first result is not the last article that contains them, with the sources of the three best."""
     titles = P.articles(spark, sf_dir).select("article_id", F.col("document").alias("title"))
-    return errors.failures(P.word_run(spark, sf_dir), P.gold(spark, sf_dir), P.queries(spark, sf_dir), titles, k=1)
+    last = P.gold(spark, sf_dir).groupBy("query_id").agg(F.max("article_id").alias("article_id"))
+    return errors.failures(P.word_run(spark, sf_dir), last, P.queries(spark, sf_dir), titles, k=1)
 
 
 @query("""WITH c AS (SELECT CASE WHEN quality = 0 THEN 'junk' WHEN toxic = 1 THEN 'toxic' WHEN quality IS NOT NULL THEN 'fine' END AS cause FROM documents LEFT JOIN labels USING (doc_id)), n AS (SELECT cause, count(*) AS n FROM c WHERE cause IS NOT NULL GROUP BY 1)
@@ -617,10 +686,12 @@ def upsert_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = P.queries(spark, sf_dir)
-    docs, model = P.articles(spark, sf_dir), _model(spark, sf_dir)
-    fixed = restoring.restored(asked, model).select("query_id", F.col("restored").alias("text"))
-    return assistant.answers(asked, docs, sparse.build(docs, only=sparse.query_terms(fixed)), model)
+    """The assistant with all its parts: restored once, searched by words and by vectors, fused."""
+    asked, docs = P.queries(spark, sf_dir), P.articles(spark, sf_dir)
+    fixed = P.shared(restoring.restored(asked, _model(spark, sf_dir)).select("query_id", "text", "restored"))
+    used = fixed.select("query_id", F.col("restored").alias("text"))
+    index = sparse.build(docs, only=sparse.query_terms(used))
+    return assistant.answers(asked, docs, index, fixed, _vectors(spark, sf_dir), dense.encode_queries(used, dense.hashing_encoder()))
 
 
 @query()
@@ -633,3 +704,12 @@ def lookup_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assistant.rendered(_answers(spark, sf_dir), P.queries(spark, sf_dir))
 
 
+@query(f"""WITH {Q.run('word')}, hit AS (SELECT query_id, rank, article_id, score FROM word WHERE rank <= 3), tw AS (SELECT query_id, article_id, term, round(idf * (tf * 2.2) / (tf + 1.2), 4) AS weight FROM matches),
+    w AS (SELECT query_id, article_id, count(*) AS n_terms, arg_min(term, (-weight, term)) AS first_term FROM tw GROUP BY 1, 2)
+    SELECT query_id, rank, article_id, score, n_terms, first_term, CASE WHEN length(text) <= 600 THEN coalesce(text, '') WHEN contains(left(text, 600), ' ')
+    THEN regexp_replace(left(text, 600), ' [^ ]*$', '') || ' ...' ELSE left(text, 600) || ' ...' END AS snippet FROM hit JOIN w USING (query_id, article_id) JOIN documents ON doc_id = article_id""")
+def lookup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assistant by words alone, on questions as they are."""
+    asked, docs = P.queries(spark, sf_dir), P.articles(spark, sf_dir)
+    found = assistant.answers(asked, docs, sparse.build(docs, only=sparse.query_terms(asked)))
+    return found.select("query_id", "rank", "article_id", "score", "n_terms", F.col("terms")[0]["term"].alias("first_term"), "snippet")

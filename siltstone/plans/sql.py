@@ -62,7 +62,7 @@ def run(name: str, tokens: str = TOKENS, p: str = "", k1: float = 0.6, b: float
 
 
 NEAREST = """dots AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, v.label::BIGINT AS article_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
-    nearest AS (SELECT * FROM dots QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= 100)"""
+    nearest AS (SELECT * FROM dots QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= 500)"""
 
 
 def pooled(how: str) -> str:
@@ -70,6 +70,19 @@ def pooled(how: str) -> str:
     SELECT query_id, article_id, score, rank FROM r WHERE rank <= 10"""
 
 
+#: article_id, chunk_no, text: clauses start at numbered lines; short ones are packed into 180 words, long ones cut into windows.
+CHUNKS = r"""lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n, len(l) AS total FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+    cut AS (SELECT doc_id, n, list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '') AS w, sum(CASE WHEN regexp_matches(line, '^\s*[0-9]{1,2}\.\s') OR (n < total AND regexp_matches(line, '^\s*[0-9]{1,2}\.$')) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS g FROM lines),
+    clause AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS k, w FROM (SELECT doc_id, g, flatten(list(w ORDER BY n)) AS w FROM cut GROUP BY 1, 2) WHERE len(w) > 0),
+    walk AS (SELECT doc_id, 0::BIGINT AS k, []::VARCHAR[][] AS done, []::VARCHAR[] AS open FROM documents UNION ALL
+    SELECT c.doc_id, c.k, CASE WHEN len(w) <= 180 AND len(open) + len(w) <= 180 THEN done ELSE list_concat(done, CASE WHEN len(open) > 0 THEN [open] ELSE [] END, CASE WHEN len(w) > 180
+        THEN list_transform(range(0, ceil((len(w) - 180) / 140)::BIGINT + 1), lambda i: list_slice(w, i * 140 + 1, i * 140 + 180)) ELSE [] END) END,
+        CASE WHEN len(w) > 180 THEN [] WHEN len(open) + len(w) <= 180 THEN list_concat(open, w) ELSE w END
+    FROM walk JOIN clause c ON c.doc_id = walk.doc_id AND c.k = walk.k + 1),
+    found AS (SELECT doc_id, CASE WHEN len(open) > 0 THEN list_append(done, open) ELSE done END AS f FROM walk QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1),
+    listed AS (SELECT doc_id, CASE WHEN len(f) > 0 THEN list_transform(f, lambda w: trim(coalesce(source, '') || '. ' || array_to_string(w, ' '))) WHEN coalesce(source, '') <> '' THEN [source] ELSE [doc_id::VARCHAR] END AS t FROM found JOIN documents USING (doc_id)),
+    chunks AS (SELECT doc_id AS article_id, (generate_subscripts(t, 1) - 1)::INTEGER AS chunk_no, unnest(t) AS text FROM listed)"""
+
 KS = (1, 5, 10, 20)
 MEASURES = tuple(f"{m}_{k}" for k in KS for m in ("recall", "mrr", "ndcg", "f2"))
 

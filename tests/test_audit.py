@@ -49,13 +49,20 @@ def test_simhash_of_alike_texts(spark):
 def test_near_queries_equal_brute_force(spark):
     rng = random.Random(2)
     base = [[f"w{rng.randint(0, 9)}" for _ in range(rng.randint(1, 14))] for _ in range(25)]
-    texts = base + [[*t[:-1], "new"] for t in base] + [[], ["x"]]
+    texts = base + [[*t[:-1], "new"] for t in base] + [[], ["x"]] + [base[k // 2] for k in range(8)]
     rows = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "query_id long, text string")
     sets = [{" ".join(t[i : i + 3]) for i in range(len(t) - 2)} if len(t) >= 3 else ({" ".join(t)} if t else set()) for t in texts]
     a, b = rows.where("query_id % 2 = 0"), rows.where("query_id % 2 = 1")
     want = {(i, j) for i in range(0, len(sets), 2) for j in range(1, len(sets), 2) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
     assert want
-    assert {(r.id_a, r.id_b) for r in audit.near_queries(a, b, 3, 0.6).collect()} == want
+    members = [{}, {}]
+    for k, side in enumerate((a, b)):
+        for r in audit.query_classes(side, 3).collect():
+            members[k].setdefault(r.class_id, []).append(r.query_id)
+            assert sets[r.query_id] == sets[r.class_id] and r.class_id <= r.query_id
+    pairs = [(r.id_a, r.id_b) for r in audit.near_queries(a, b, 3, 0.6).collect()]
+    assert len(pairs) == len(set(pairs)) < len(want)
+    assert {(i, j) for x, y in pairs for i in members[0][x] for j in members[1][y]} == want
 
 
 def test_ids(spark):

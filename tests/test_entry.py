@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-FEW = ["token_list", "bm25_search", "fuse_weighted", "near_dup_pairs", "lm_candidates", "split_queries", "pool_max", "evaluate"]
+FEW = ["token_list", "bm25_search", "fuse_weighted", "near_dup_pairs", "lm_candidates", "split_queries", "pool_max", "evaluate", "chunk_documents", "half_stripped"]
 
 
 def test_every_sql_has_its_query():

@@ -76,7 +76,7 @@ def test_model_survives_saving(spark, model, tmp_path):
 def test_answers(spark, model):
     docs = spark.createDataFrame([(f"d{k}", f"Article {k}", f"Article {k}. {t}") for k, t in enumerate(CORPUS)], "article_id string, title string, text string")
     asked = spark.createDataFrame([("q0", "luong toi thieu"), ("q1", "zebra")], "query_id string, text string")
-    found = assistant.answers(asked, docs, sparse.build(docs), model)
+    found = assistant.answers(asked, docs, sparse.build(docs), restoring.restored(asked, model))
     top = found.where("rank = 1").first()
     assert (top.article_id, top.used, top.is_restored, top.snippet) == ("d2", "lương tối thiểu", True, "lương tối thiểu vùng")
     text = {r.query_id: r.answer for r in assistant.rendered(found, asked).collect()}
@@ -87,3 +87,13 @@ def test_answers(spark, model):
 def test_candidates(spark, model):
     rows = spark.createDataFrame([("nguoi",), ("người",), ("zzz",)], "w string")
     assert {r.w: r.candidates for r in restoring.candidates(rows, model).collect()} == {"nguoi": ["người"], "người": ["người"], "zzz": ["zzz"]}
+
+
+def test_texts_that_need_many_counts_are_restored_in_blocks(spark, monkeypatch):
+    texts = ["luật giao thông đường bộ", "điều khiển xe máy", "người tham gia giao thông", "bộ luật lao động"]
+    model = restoring.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate(["luat giao thong", "dieu khien xe", "nguoi tham gia", "bo luat"])], "k int, text string")
+    whole = {r.k: r.restored for r in restoring.restored(asked, model).collect()}
+    monkeypatch.setattr(restoring, "SENT", 1)
+    assert {r.k: r.restored for r in restoring.restored(asked, model).collect()} == whole
+    assert whole[0] == "luật giao thông"

@@ -129,3 +129,25 @@ def test_simhash_is_the_majority_of_bits(spark):
     got = rows.agg(H.simhash(H.token_hash(F.col("w"))).alias("c")).first().c
     assert got % (1 << 64) == want
     assert rows.where("w = ''").agg(H.simhash(H.token_hash(F.col("w"))).alias("c")).first().c == 0
+
+
+def test_decomposed_text_is_as_composed(spark):
+    """An accent that is a character of its own changes neither words nor hashes, search or restoring."""
+    import unicodedata
+
+    from siltstone.functions import hashing as H
+    from siltstone.operators import restoring, sparse
+
+    whole = "Luật Giao thông đường bộ, Điều 5: Người điều khiển xe"
+    parted = unicodedata.normalize("NFD", whole)
+    assert parted != whole
+    rows = spark.createDataFrame([(1, whole), (2, parted)], "article_id long, text string")
+    found = rows.select(T.tokens("text").alias("t"), T.words("text").alias("w"), T.syllables("text").alias("s"), T.folded_syllables("text").alias("f"), T.normalized("text").alias("n"), H.content_hash(F.col("text")).alias("h"), T.folded("text").alias("p"))
+    a, b = found.collect()
+    assert a == b and "thông" in a.t and a.f[:2] == ["luat", "giao"]
+    run = sparse.search(spark.createDataFrame([(7, unicodedata.normalize("NFD", "giao thông"))], "query_id long, text string"), rows, 5).collect()
+    assert {r.article_id for r in run} == {1, 2} and len({r.score for r in run}) == 1
+    model = restoring.train(rows)
+    assert {r.w for r in model.words.collect()} == set(a.s)
+    again = restoring.restored(spark.createDataFrame([(parted,), ("luat giao thong",)], "text string"), model).select("restored").collect()
+    assert [r.restored for r in again] == [whole, "luật giao thông"]
