@@ -1,7 +1,14 @@
-"""Tables, scratch space in the shared folder, and Arrow batch helpers."""
+"""Tables, scratch space in the shared folder, and Arrow batch helpers.
+
+Scratch tables live as long as results that read them may be asked for: `clean` deletes those of a session when its results
+have been written, and what is left is deleted when the driver ends.
+"""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; a longer single text is handled alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1_000_000
 #: Rows of one Arrow batch between the JVM and Python.
 BATCH_ROWS = 1000
 #: Ids that may be broadcast; more are joined by a shuffle.
@@ -31,20 +38,46 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a folder in the warehouse, which a
+    cluster shares too; in a single local process (tests) a temporary folder, removed at its end."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = tempfile.mkdtemp(prefix="siltstone-")
+        master = spark.sparkContext.master
+        if master == "local" or master.startswith("local["):
+            where = tempfile.mkdtemp(prefix="siltstone-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
+        else:
+            where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/siltstone-scratch"
         spark.sparkContext.setCheckpointDir(where)
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+_roots: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession | None = None) -> None:
+    """Deletes the scratch tables of a session (of all if None), once no result that reads them is needed any more."""
+    for entry in [e for e in _roots if spark is None or e[0] is spark]:
+        _roots.remove(entry)
+        with contextlib.suppress(Exception):  # the session may have ended, and its files with it
+            _delete(*entry)
+
+
+atexit.register(clean)
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive any executor."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+        _roots.append((spark, self.root))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
@@ -53,8 +86,7 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
