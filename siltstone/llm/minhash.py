@@ -10,7 +10,11 @@ members are in several components after that, members are compared with each oth
 of their sets from the pivot's, from which the full sets' similarity follows exactly. No pairs are emitted, only
 links that join components, so that no link between candidates is lost and no group lands in one task.
 
-Null or empty texts have no shingles and link with nothing. Rows with a null doc_id link with nothing, get a
+A pivot's set meets its members in salted parts of at most about `SHARE` rows, so that a large group is compared by many
+tasks; joins with what only large groups have are by a broadcast of checked size.
+
+Null or empty texts have no shingles and link with nothing; an empty table gives no rows. Very long texts are read whole,
+one at a time. Columns other than doc_id and text are not read, so their names do not matter. Rows with a null doc_id link with nothing, get a
 null component and are kept. Rows that share a doc_id count as one document for links. Ties: the least doc_id
 stands for a group.
 """
@@ -30,6 +34,8 @@ PERMUTATIONS, ROWS = 48, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Members, and elements of their differences from the pivot, that one unit of comparison holds; columns of one matrix product.
 BLOCK, ELEMENTS, COLUMNS = 1024, 2_000_000, 2048
+#: Members of a group that one part of a salted join has, about; groups with more than one block that are broadcast at most.
+SHARE, LARGE_SENT = 500, 100_000
 #: Bits of the filter that spares building sets for texts without candidates; its size is fixed, and rows that pass by chance are removed by a join.
 FILTER_BITS = 1 << 24
 
@@ -99,31 +105,38 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 def components(edges: DataFrame, scratch: C.Scratch, tag: str) -> DataFrame:
     """node and comp, the least node of its component, by alternating large-star and small-star rounds."""
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % 1_000_003)).first())
-
     now = scratch.save(edges.where("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct(), f"{tag}-0")
-    before, k = state(now), 0
-    while before[0]:
+    count, k = now.count(), 0
+    while count:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
         k += 1
-        now = scratch.save(small.union(least.select("hi", F.col("m").alias("lo"))).distinct(), f"{tag}-{k}")
+        before, now = now, scratch.save(small.union(least.select("hi", F.col("m").alias("lo"))).distinct(), f"{tag}-{k}")
+        count, last = now.count(), count
+        # two sets of as many edges, one within the other, are equal
+        done = count == last and now.join(before, ["hi", "lo"], "left_anti").isEmpty()
         scratch.drop(f"{tag}-{k - 1}")
-        before, last = state(now), before
-        if before == last:
+        if done:
             break
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("comp"))
 
 
 def _sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (p, x) with both shingle sets; the set of a hot p stays with its side of the join."""
+    """pairs (p, x) with both shingle sets. A p with many x is dealt out by a salt of x; its set goes to the parts that
+    have a pair, and to no others."""
+    most = pairs.groupBy("p").count().agg(F.max("count")).first()[0] or 0
+    salts = max(1, -(-most // SHARE))
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(salts)))
     p = sets.select(F.col("rep").alias("p"), F.col("shingles").alias("sp"))
     x = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("sx"))
-    return pairs.join(x, "x").join(p, "p")
+    if salts > 1:
+        p = pairs.select("p", "salt").distinct().join(p, "p")
+    else:
+        p = p.withColumn("salt", F.lit(0).cast("long"))
+    return pairs.join(x, "x").join(p, ["p", "salt"]).drop("salt")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -178,14 +191,17 @@ def _compare_block(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def compared(groups: DataFrame, percent: int) -> DataFrame:
+def compared(groups: DataFrame, scratch: C.Scratch, percent: int) -> DataFrame:
     """Links (hi, lo) between members of different components in a pivot's group.
 
     groups: p, x, n, comp, diff. A group with more than `BLOCK` members or `ELEMENTS` elements is cut into blocks, and
     each pair of blocks is a unit of its own. Units give the links that join components, not pairs.
     """
     sizes = groups.groupBy("p").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("diff").cast("long")) / ELEMENTS)).alias("blocks"))
-    rows = groups.join(sizes, "p").withColumn("at", F.pmod(F.xxhash64("x"), F.col("blocks")))
+    large = scratch.save(sizes.where("blocks > 1"), "large")
+    large = F.broadcast(large) if large.count() <= LARGE_SENT else large
+    rows = groups.join(large, "p", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("x"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     rows = rows.select("p", "x", "n", "comp", "diff", "at", other)
     rows = rows.selectExpr("p", "least(at, other) AS i", "greatest(at, other) AS j", "x", "n", "comp", "CASE WHEN at = other THEN 2 WHEN at < other THEN 0 ELSE 1 END AS side", "diff")
@@ -241,12 +257,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     placed = groups.join(comps, F.col("x") == F.col("node"), "left").select("p", "x", "n", F.coalesce("comp", "x").alias("comp"))
     placed = scratch.save(placed, "placed")
     several = placed.groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("p")
-    open_ = scratch.save(placed.join(several, "p").select("p", "x", "n", "comp"), "open")
+    several = scratch.save(several, "several")
+    hint = F.broadcast(several) if several.count() <= C.IDS_SENT else several
+    open_ = scratch.save(placed.join(hint, "p").select("p", "x", "n", "comp"), "open")
     if not open_.isEmpty():
         diff = F.concat(F.array_except("sp", "sx"), F.array_except("sx", "sp"))
-        more = scratch.save(compared(_sides(open_, sets).select("p", "x", "n", "comp", diff.alias("diff")), percent), "more")
+        apart = scratch.save(_sides(open_, sets).select("p", "x", "n", "comp", diff.alias("diff")), "apart")
+        more = scratch.save(compared(apart, scratch, percent), "more")
         comps = components(links.union(more), scratch, "all")
-    scratch.drop("members", "central", "groups", "sets", "placed", "open")
+    scratch.drop("members", "central", "groups", "sets", "placed", "open", "several", "apart", "large")
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
