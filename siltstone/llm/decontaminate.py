@@ -1,16 +1,19 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 Words are lower-cased (A-Z) runs between white space and ASCII marks. A first pass over all documents counts
-in how many of them each `SEED`-word gram of the test items occurs. An item's seeds are its grams in at most `RARE`
-documents or `SPREAD` times the item's median, and its `LEAST` rarest ones in any case (ties by place). Rarity is
-relative to the item, so an item that was copied into a third of the corpus keeps its seeds, and edited copies, which
-lack some of its grams, are met by the others. A second pass joins the seeds with the documents and aligns the item with the
+in how many of them each `SEED`-word gram of the test items occurs. A gram is a seed if it is rare where it stands: in at
+most `SPREAD` times as many documents (and as many more) as the rarest of the grams up to `NEAR` places before and after
+it. Every stretch of 2 * `NEAR` + 1 grams of an item thus has a seed, whatever part of it is quoted, edited or copied into
+a third of the corpus, and whatever the size of the table. A second pass joins the seeds with the documents and aligns the item with the
 words about each hit: match +2, mismatch and gap -1; the score is the best local alignment's share of 2 times
 the item's length. A pair leaks if its score is `SCORE` or more; items under `SHORT` words must align wholly.
 
 The test items go to the executors in blocks of at most `BLOCK_CHARS` characters, as many as needed, and every
-block sees all documents. Null or empty items and texts match nothing; a repeated item_id yields a row for its
-best score; rows with a null doc_id or item_id are left out.
+block sees all documents. A copy that shares no three words in a row with its item has no seed and is not met, though it may score just `SCORE`
+(every third word edited). Null or empty items and texts match nothing; a repeated item_id yields a row for its
+best score; rows with a null doc_id or item_id are left out. Repeated documents yield a row for each doc_id. Very long
+texts are read whole. Of equal alignments the first in the text counts. Without documents or items there are no rows.
+Other columns are not read, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import kernels as K
 
-SEED, LEAST, SCORE, SHORT = 3, 8, 0.5, 8
-RARE, SPREAD = 1_000, 8
+SEED, SCORE, SHORT = 3, 0.5, 8
+NEAR, SPREAD = 2, 8
 BLOCK_CHARS = 8_000_000
 SCHEMA = "doc_id long, item_id long, score double, first_word long, last_word long"
 _SMALL = (1 << 20) - 1
@@ -47,16 +50,14 @@ class Items:
         self.grams, self.gram = np.unique(gram, return_inverse=True)
 
     def seeds(self, found: dict[int, int]) -> Seeds:
-        """Each item's rare grams; found: documents by gram."""
+        """The grams that are rare where they stand; found: documents by gram."""
         often = np.array([found.get(k, 0) for k in range(len(self.grams))], np.int64)[self.gram]
-        order = np.lexsort((self.at, often, self.of))
-        of, often = self.of[order], often[order]
-        first = np.searchsorted(of, of)
-        rank = np.arange(len(order)) - first
-        size = np.bincount(of, minlength=len(self.ids))[of]
-        median = often[first + (size - 1) // 2]
-        keep = np.sort(order[(rank < LEAST) | (often <= np.maximum(RARE, SPREAD * median))])
-        return Seeds(self, keep)
+        least = often.copy()
+        for d in range(1, NEAR + 1):  # grams come in the order of items and places
+            for one, other in ((slice(d, None), slice(None, -d)), (slice(None, -d), slice(d, None))):
+                same = self.of[one] == self.of[other]
+                least[one] = np.where(same, np.minimum(least[one], often[other]), least[one])
+        return Seeds(self, np.flatnonzero(often <= SPREAD * (least + 1)))
 
 
 def _member(grams: np.ndarray) -> np.ndarray:

@@ -383,6 +383,37 @@ def test_leaks(spark):
     assert {r.doc_id for r in kept.collect()} == {2, 3, 4, 5}
 
 
+def test_leaks_of_edited_copies_equal_alignment_of_all(spark):
+    """Against aligning every item with every whole text: edited, quoted and common passages, in a table of any size."""
+    rng = random.Random(12)
+    items = [prose(1000 + k, 40)[:-1] for k in range(8)]
+
+    def edited(text, share):
+        words = text.split()
+        for k in range(len(words)):
+            if rng.random() < share:
+                words[k] = rng.choice(["", "edited", f"{words[k]} more"])
+        return " ".join(words)
+
+    texts = [f"{prose(k, 30)} {edited(items[k % 8], rng.choice([0, 0.1, 0.2, 0.3]))} {prose(k + 1, 30)}" for k in range(64)]
+    half = " ".join(items[3].split()[:22])
+    texts += [f"{prose(k, 20)} {half} {prose(k + 1, 20)}" for k in range(40)] + [prose(k, 80) for k in range(20)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(documents(spark, *texts), benchmark).collect()}
+    code: dict = {}
+    plain = lambda text: np.array([code.setdefault(w, len(code)) for w in re.sub(r"[^a-z0-9]+", " ", text.lower()).split()])
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            words = plain(item)
+            score = decontaminate.align(words, plain(text))[0] / (2 * len(words))
+            if score >= decontaminate.SCORE:
+                want[d, i] = score
+    assert len(want) > 90 and set(got) <= set(want)
+    assert len(got) >= 0.97 * len(want)
+    assert all(got[64 + k, 3] == want[64 + k, 3] for k in range(40))
+
+
 def test_alignment_equals_the_textbook_recurrence():
     rng = random.Random(5)
     for _ in range(30):
