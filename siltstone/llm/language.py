@@ -6,12 +6,14 @@ each language. The chain's transition weights are learned with them from code-sw
 by stringing together runs of words from labelled documents of different languages. Forward-backward gives each
 word's probability of each language; a text's language has the greatest mean over its words, which is the score.
 
-Learning takes a bounded sample: about `PER_LANGUAGE` labelled documents of each language with the least hash
-(of at most `LANGUAGES` languages, those with most documents), `SAMPLE_WORDS` words of each from a place that its
-hash decides. Prediction sees all words of a text and nothing but the text.
+Learning takes a bounded sample: about `PER_LANGUAGE` labelled documents of each language with the least hash,
+`SAMPLE_WORDS` words of each from a place that its hash decides. Every language of the training fold is learned; memory
+grows with their number (2**`BITS` weights for each). Prediction sees all words of a text and nothing but the text.
 
 A text that is null or has no letter gets `und` and score 0. Words without a letter take no part. Ties go to the
-language that sorts first. Without any labelled document all texts with letters get `und` and 0.
+language that sorts first. Without any labelled document all texts with letters get `und` and 0. A null doc_id is not held
+out, nor learned from; repeated rows have equal results; an empty table gives no rows. Very long texts are read whole,
+one at a time. Columns other than doc_id, text and lang are not read, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import kernels as K
 
-PER_LANGUAGE, LANGUAGES, SAMPLE_WORDS = 500, 64, 200
+PER_LANGUAGE, SAMPLE_WORDS = 500, 200
 BITS = 17
 EPOCHS, STEP, DECAY = 6, 0.2, 1e-4
 SEQUENCE, RUN = 40, 12
@@ -218,15 +220,14 @@ def held_out() -> Column:
 def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     """Texts (word runs) and languages to learn from."""
     usable = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    counts = C.Scratch(docs.sparkSession, "language").save(usable.groupBy("lang").agg(F.least(F.lit(1.0), PER_LANGUAGE / F.count("*")).alias("share")), "counts")
+    languages = counts.count()
+    if not languages:
         return [], []
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, PER_LANGUAGE / r["count"]))).otherwise(share)
+    usable, share = usable.join(counts, "lang"), F.col("share")
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     cut = F.when(F.length("text") > 8 * SAMPLE_WORDS, F.substr("text", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.length("text") - 8 * SAMPLE_WORDS) + 1).cast("int"), F.lit(8 * SAMPLE_WORDS))).otherwise(F.col("text"))
-    some = usable.where(hashed < share * (1 << 20)).select("doc_id", cut.alias("text"), "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * PER_LANGUAGE * len(counts))
+    some = usable.where(hashed < share * (1 << 20)).select("doc_id", cut.alias("text"), "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * PER_LANGUAGE * languages)
     rows = sorted(some.collect(), key=lambda r: (r.lang, r.doc_id, r.text))
     return [" ".join(r.text.split()[1:-1]) or r.text for r in rows], [r.lang for r in rows]
 
