@@ -2,15 +2,19 @@
 
 Pages become trees of elements and texts. Pages of a host whose bodies have the same regions are of one layout. Every
 page is aligned with one page of its layout (that with the least hash) by simple tree matching; text nodes that match at
-the same place with the same text in all pages are constant: they are the layout's template. Nodes that vary are slots.
-A layout whose pages all have one main text has no template. A page's main text is what stands in slots, less the regions that are no article by their element or names (navigation, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments) and less lists of links. A page with an article or main element
-is read from there; constants inside it count as template only in short blocks that all pages of the layout share.
+the same place with the same text in all pages are constant: they are the layout's template, of whatever length. Nodes
+that vary are slots. A layout whose pages all have one main text has no template. A page's main text is what stands in
+slots, less the regions that are no article by their element or names (navigation, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles, comments) and less lists of links. A page with an article or main element is read from
+there; constants inside it are template where the layout's pages have `MAINS` different main texts at least, for what two
+articles share may be theirs.
 
 Character references are decoded; white space inside a block becomes one space; blocks are joined in page order by
 one space. A null or empty page gives an empty text; broken markup is read as far as it goes, and text after the
 last tag still counts. Layouts with one page have no template. Pages are judged row by row: repeated rows and null
-page_ids have their own results.
+page_ids have their own results. Ties: of the pages of a layout that have the least hash the first in order is the one
+aligned with, of equal matchings the one that leaves later nodes out. Very long pages are read and matched whole; an
+empty table gives no rows. Columns other than page_id, url and html are not read, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -28,8 +32,8 @@ from . import common as C
 
 #: Layouts whose pages and templates are broadcast; more are joined by a shuffle.
 LAYOUTS_SENT = 2_000
-#: Longest constant block (in characters) inside an article that is taken for template.
-SHORT = 120
+#: Different main texts of a layout from which constants inside its articles are template.
+MAINS = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -275,8 +279,8 @@ def _container(root: Node) -> Node | None:
     return best
 
 
-def extract(root: Node, template: frozenset[str]) -> str:
-    """The main text of a page, given the keys of its host's constant text nodes."""
+def extract(root: Node, template: frozenset[str], deep: bool = False) -> str:
+    """The main text of a page, given the keys of its layout's constant text nodes, which count inside articles if `deep`."""
     container = _container(root)
     blocks: list[str] = []
     pending: list[str] = []
@@ -300,7 +304,7 @@ def extract(root: Node, template: frozenset[str]) -> str:
         elif isinstance(node, str):
             if inside:
                 text = html.unescape(node) if "&" in node else node
-                if template and (short := " ".join(text.split())) and (container is None or len(short) <= SHORT) and _key(path, short) in template:
+                if template and (short := " ".join(text.split())) and (container is None or deep) and _key(path, short) in template:
                     continue
                 pending.append(text)
                 if link:
@@ -354,12 +358,13 @@ def _laid_out(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(laid: DataFrame) -> DataFrame:
-    """host, layout and template (keys of constant nodes) of the layouts that have one."""
+    """host, layout, deep and template (keys of constant nodes) of the layouts that have one."""
     scratch = C.Scratch(laid.sparkSession, "wrappers")
     rows = laid.where("host <> '' AND html IS NOT NULL")
     first = F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("first")
-    firsts = rows.groupBy("host", "layout").agg(first, F.count("*").alias("n"), F.min("main").alias("a"), F.max("main").alias("b"))
-    firsts = scratch.save(firsts.where("a <> b").select("host", "layout", "first", "n"), "firsts")
+    firsts = rows.groupBy("host", "layout").agg(first, F.count("*").alias("n"))
+    mains = rows.select("host", "layout", "main").distinct().groupBy("host", "layout").agg(F.count("*").alias("mains")).where("mains > 1")
+    firsts = scratch.save(firsts.join(mains, ["host", "layout"]).select("host", "layout", "first", "n", (F.col("mains") >= MAINS).alias("deep")), "firsts")
     few = firsts.count() <= LAYOUTS_SENT
     pairs = rows.select("host", "layout", "html").join(F.broadcast(firsts) if few else firsts, ["host", "layout"])
 
@@ -379,7 +384,8 @@ def wrappers(laid: DataFrame) -> DataFrame:
 
     found = pairs.mapInArrow(run, "host string, layout string, n long, key string, c long")
     found = found.groupBy("host", "layout", "n", "key").agg(F.sum("c").alias("c")).where("c = n")
-    return scratch.save(found.groupBy("host", "layout").agg(F.sort_array(F.collect_list("key")).alias("template")), "wrappers")
+    keys = found.groupBy("host", "layout").agg(F.sort_array(F.collect_list("key")).alias("template"))
+    return scratch.save(keys.join(firsts.select("host", "layout", "deep"), ["host", "layout"]), "wrappers")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -387,13 +393,13 @@ def extracted(pages: DataFrame) -> DataFrame:
     C.tuned(pages.sparkSession)
     laid = _laid_out(pages)
     found = wrappers(laid)
-    rows = laid.join(F.broadcast(found) if found.count() <= LAYOUTS_SENT else found, ["host", "layout"], "left").select("page_id", "url", "html", "template")
+    rows = laid.join(F.broadcast(found) if found.count() <= LAYOUTS_SENT else found, ["host", "layout"], "left").select("page_id", "url", "html", "template", "deep")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for page, template in zip(batch.column("html").to_pylist(), batch.column("template"), strict=True):
+        for page, template, deep in zip(batch.column("html").to_pylist(), batch.column("template"), batch.column("deep").to_pylist(), strict=True):
             keys = template.as_py() or ()
-            texts.append(extract(parse(page), frozenset(keys)) if page else "")
+            texts.append(extract(parse(page), frozenset(keys), bool(deep)) if page else "")
         return C.record(page_id=batch.column("page_id"), url=batch.column("url"), text=pa.array(texts, pa.string()), n_chars=pa.array([len(t) for t in texts], pa.int64()))
 
     return C.arrow_map(rows, work, "page_id long, url string, text string, n_chars long", "html")

@@ -516,6 +516,18 @@ def test_each_layout_has_its_template(spark):
     assert not any("says this" in got[k] for k in (40, 42))
 
 
+def test_wrappers_find_articles_that_no_name_marks(spark):
+    """Plain divisions without a telling element, class or link: what all pages of a host share goes, whatever its length."""
+    long = prose(77, 60)
+    page = lambda k: f"<html><body><div><p>Start</p><p>Goods and prices</p></div><div><h1>Story {k}</h1><p>{prose(k, 30)}</p><p>{prose(-k, 12)}</p></div><div><p>{long}</p><p>All rights reserved</p></div></body></html>"
+    inner = lambda k: f"<html><body><article><p>{prose(500 + k, 20)}</p><p>{long}</p></article><div>x</div></body></html>"
+    rows = [(k, f"http://plain.example/{k}", page(k)) for k in range(30)] + [(100 + k, f"http://inner.example/{k}", inner(k)) for k in range(6)] + [(200 + k, f"http://two.example/{k}", inner(900 + k)) for k in range(2)]
+    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Story {k} {prose(k, 30)} {prose(-k, 12)}" for k in range(30))
+    assert all(got[100 + k] == prose(500 + k, 20) for k in range(6))
+    assert all(got[200 + k] == f"{prose(1400 + k, 20)} {long}" for k in range(2))
+
+
 def test_long_lists_are_matched_like_short_ones():
     a, b = (html_extract.parse("<ul>" + kids + "</ul>") for kids in ("<li>1</li>" * 150 + "<p>x</p>", "<p>y</p>" + "<li>1</li>" * 150 + "<p>x</p>"))
     assert len(html_extract.match(a, b)) == 153  # root, list, and all of the shorter one
