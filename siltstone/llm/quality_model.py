@@ -6,16 +6,17 @@ thresholds). Its highest-order grams are counted in each task first and then by
 counts. Joins of the tables, sharded by key, give each gram its interpolated probability and each context its
 back-off weight, in the JVM.
 
-The finished table is dealt into shards by the two bytes before the predicted one, of about `SHARD_ROWS` rows: so
-many that each is small enough to be sent to all tasks, however large the model. All grams and contexts that a
-position needs lie in one shard. Every shard is joined with all documents and yields each document's share of the
-log-likelihood; the shares are summed. A document is kept if its log-perplexity per byte is at most the threshold of
+A model of at most `SENT_ROWS` rows (its size is counted) goes to the documents as a broadcast table: one pass. A larger one
+stays where it is, and the documents' grams go to it: each document's distinct grams and their counts are saved with the
+row's number, grams are resolved once each by joins with the orders' tables on their keys, and the results come back by a
+join on the gram, of which the most frequent ones are salted, and are summed by row. Both give the same perplexities. A document is kept if its log-perplexity per byte is at most the threshold of
 its language: the `QUANTILE` of held-out trusted documents, whose distance to their median is widened for short texts,
 whose perplexity varies more. A language with under `LEAST` such documents has the threshold of all together.
 
 Null or empty texts have no perplexity and are not kept. A null lang counts as the language `und`. A document with
 several labels is trusted if none of them is bad. Without trusted text all texts that have a byte are kept, with
-perplexity null. Repeated rows and null doc_ids are judged row by row.
+perplexity null. Repeated rows and null doc_ids are judged row by row. Equal losses are judged alike (`NEAR`). Very long
+texts are read whole; an empty table gives no rows. Other columns of docs are not read, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 from . import common as C
 
 ORDER = 5
-SHARD_ROWS = 2_000_000
+#: Rows of a model that is broadcast (13 bytes each); a larger one is joined.
+SENT_ROWS = 2_000_000
+#: Rows of a gram from which it is salted: at least so many, and so many that few grams are.
+HOT_ROWS, HOT_GRAMS = 1_000_000, 10_000
 QUANTILE, LEAST = 0.95, 20
 #: Nats per byte by which equal texts may differ as their shares are added up.
 NEAR = 1e-6
@@ -37,6 +41,7 @@ SETTLED = 400
 #: Distinct grams that a counting task holds before it hands them on.
 HELD = 2_000_000
 
+EVEN = float(np.log(1 / 256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -169,19 +174,17 @@ class Table:
         return value, found
 
 
-class Shard:
-    """The part of the model for contexts whose last two bytes fall into `number` of `shards`."""
+class Grams:
+    """A whole model as tables, for one task."""
 
-    def __init__(self, rows: pa.Table, number: int, shards: int):
-        self.number, self.shards = number, shards
+    def __init__(self, rows: pa.Table):
         kind, key, value = (rows.column(c).to_numpy() for c in ("kind", "key", "value"))
         #: keys and values of grams (kind n) and contexts (kind -n); tasks make tables of them
         self.parts = {int(k): (key[kind == k], value[kind == k]) for k in np.unique(kind)}
         self.grams: dict[int, Table] = {}
         self.backs: dict[int, Table] = {}
-        self.even = float(np.log(1 / 256))
 
-    def opened(self) -> Shard:
+    def opened(self) -> Grams:
         """With its tables, which a task makes once."""
         if not self.grams:
             none = np.zeros(0, np.int64), np.zeros(0, np.float32)
@@ -189,9 +192,6 @@ class Shard:
             self.grams = {k: Table(*self.parts.get(k, none)) for k in range(1, ORDER + 1)}
         return self
 
-    def mine(self, key: np.ndarray) -> np.ndarray:
-        return shard_of(key >> 8 & 0xFFFF, self.shards) == self.number
-
     def log_chances(self, key: np.ndarray) -> np.ndarray:
         """Natural log-probability of each gram's last byte after the others."""
         out = np.zeros(len(key), np.float64)
@@ -204,57 +204,82 @@ class Shard:
                 return out
             value, _ = self.backs[n].find(key[left] >> 8 & ((1 << (8 * (n - 1))) - 1))
             out[left] += value
-        out[left] += self.even
+        out[left] += EVEN
         return out
 
 
-def shard_of(pair: np.ndarray, shards: int) -> np.ndarray:
-    return pair.astype(np.int64) * 40503 % 65536 * shards >> 16
+def _columns(docs: DataFrame) -> tuple[list[str], str]:
+    """The columns of docs but text, and their schema."""
+    kept = [c for c in docs.columns if c != "text"]
+    return kept, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
 
-def shares(docs: DataFrame, model: DataFrame, shards: int) -> list[DataFrame]:
-    """For each shard: the columns of docs but text, n_bytes, and the shard's share of the log-likelihood of each row."""
-    kept = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "n_bytes long", "share double"])
-    out = []
-    for number in range(shards):
-        # a gram of order 3 or more has its shard's pair before the last byte, a context of 2 or more at its end
-        pair = F.when(F.col("logp").isNull(), F.col("key")).otherwise(F.shiftright("key", 8)).bitwiseAND(0xFFFF)
-        inside = F.shiftright(F.pmod(pair * 40503, F.lit(65536)) * shards, 16) == number
-        rows = model.where(inside | (F.col("n") <= 2)) if shards > 1 else model
-        kind = F.when(F.col("logp").isNull(), -F.col("n")).otherwise(F.col("n")).cast("byte").alias("kind")
-        rows = rows.select(kind, "key", F.coalesce("logp", "back").cast("float").alias("value"))
-        shared = docs.sparkSession.sparkContext.broadcast(Shard(rows.toArrow(), number, shards))
-
-        def work(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            shard = shared.value.opened()
-            data, offs = C.utf8(batch.column("text"))
-            key = keys(data, offs)
-            chance = np.zeros(len(key) + 1)
-            if shard.shards == 1:
-                chance[1:] = shard.log_chances(key)
-            else:
-                on = np.flatnonzero(shard.mine(key))
-                chance[on + 1] = shard.log_chances(key[on])
-            total = np.cumsum(chance)
-            return C.record(**{c: batch.column(c) for c in kept}, n_bytes=np.diff(offs), share=total[offs[1:]] - total[offs[:-1]])
-
-        out.append(C.arrow_map(docs, work, schema))
-    return out
+def _sent(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """The columns of docs but text, n_bytes and the log-likelihood `share`, by a model that is broadcast."""
+    kept, schema = _columns(docs)
+    kind = F.when(F.col("logp").isNull(), -F.col("n")).otherwise(F.col("n")).cast("byte").alias("kind")
+    rows = model.select(kind, "key", F.coalesce("logp", "back").cast("float").alias("value"))
+    shared = docs.sparkSession.sparkContext.broadcast(Grams(rows.toArrow()))
 
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offs = C.utf8(batch.column("text"))
+        total = np.concatenate([[0.0], np.cumsum(shared.value.opened().log_chances(keys(data, offs)))])
+        return C.record(**{c: batch.column(c) for c in kept}, n_bytes=np.diff(offs), share=total[offs[1:]] - total[offs[:-1]])
 
-def scored(docs: DataFrame, model: DataFrame | None, scratch: C.Scratch, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    return C.arrow_map(docs, work, f"{schema}, n_bytes long, share double")
+
+
+def resolved(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """key and logp of the grams in `asked` (column key, distinct), by joins with the model's orders from the highest down.
+
+    Tables of up to two bytes have 65,792 rows at most and are broadcast.
+    """
+    rows = asked.select("key", F.lit(0.0).alias("logp"), F.lit(True).alias("open"))
+    for n in range(ORDER, 0, -1):
+        grams = model.where(f"n = {n} AND logp IS NOT NULL").select(F.col("key").alias("g"), F.col("logp").alias("p"))
+        contexts = model.where(f"n = {n} AND logp IS NULL").select(F.col("key").alias("c"), "back")
+        rows = rows.withColumn("g", F.when(F.col("open"), F.col("key").bitwiseAND((1 << (8 * n)) - 1)))
+        rows = rows.withColumn("c", F.when(F.col("open"), F.shiftright("key", 8).bitwiseAND((1 << (8 * (n - 1))) - 1)))
+        rows = rows.join(F.broadcast(grams) if n <= 2 else grams, "g", "left").join(F.broadcast(contexts) if n <= 3 else contexts, "c", "left")
+        more = F.when(F.col("p").isNotNull(), F.col("p")).otherwise(F.coalesce("back", F.lit(0.0)))
+        rows = rows.select("key", F.when(F.col("open"), F.col("logp") + more).otherwise(F.col("logp")).alias("logp"), (F.col("open") & F.col("p").isNull()).alias("open"))
+    return rows.select("key", F.when(F.col("open"), F.col("logp") + EVEN).otherwise(F.col("logp")).alias("logp"))
+
+
+def _joined(docs: DataFrame, model: DataFrame, scratch: C.Scratch, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """As `_sent`, by joins of the documents' grams with the model."""
+    kept, schema = _columns(docs)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offs = C.utf8(batch.column("text"))
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(offs))
+        some, times = np.unique(doc << (8 * ORDER) | keys(data, offs), return_counts=True)
+        lists = pa.array(np.searchsorted(some >> (8 * ORDER), np.arange(batch.num_rows + 1)).astype(np.int32))
+        own = {"keys": some & ((1 << (8 * ORDER)) - 1), "times": times}
+        arrays = {c: pa.ListArray.from_arrays(lists, pa.array(v.astype(np.int64))) for c, v in own.items()}
+        return C.record(**{c: batch.column(c) for c in ("__row", *kept)}, n_bytes=np.diff(offs), **arrays)
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("__row"), *kept, "text")
+    saved = C.arrow_map(numbered, work, f"__row long, {schema}, n_bytes long, keys array<bigint>, times array<bigint>")
+    saved = scratch.save(saved, "own")  # numbers are given once
+    each = saved.select("__row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("__row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
+    asked = scratch.save(each.groupBy("key").agg(F.count("*").alias("rows")), "asked")
+    total = asked.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    part = max(hot_rows, total // HOT_GRAMS)  # at most HOT_GRAMS grams have more rows
+    hot = F.broadcast(asked.where(F.col("rows") > part).select("key", F.ceil(F.col("rows") / part).alias("salts")))
+    found = scratch.save(resolved(asked, model), "resolved").join(hot, "key", "left")
+    found = found.select("key", "logp", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1)).alias("salt"))
+    each = each.join(hot, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("__row"), F.col("salts")), F.lit(0).cast("long")))
+    sums = each.join(found, ["key", "salt"]).groupBy("__row").agg(F.sum(F.col("times") * F.col("logp")).alias("share"))
+    return saved.drop("keys", "times").join(sums, "__row", "left").drop("__row")
+
+
+def scored(docs: DataFrame, model: DataFrame | None, scratch: C.Scratch, sent_rows: int = SENT_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The columns of docs but text, n_bytes and log_loss: nats per byte, null without a byte or a model."""
     if model is None:
         none = F.lit(None).cast("double")
         return docs.select(*(c for c in docs.columns if c != "text"), F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes"), none.alias("log_loss"))
-    shards = max(1, min(1 << 16, -(-model.count() // shard_rows)))
-    parts = shares(docs, model, shards)
-    out = parts[0]
-    if shards > 1:  # equal rows of different texts are told apart by the digest
-        for part in parts[1:]:
-            out = out.union(part)
-        out = out.groupBy(*(c for c in out.columns if c != "share")).agg(F.sum("share").alias("share"))
+    out = _sent(docs, model) if model.count() <= sent_rows else _joined(docs, model, scratch, hot_rows)
     return out.withColumn("log_loss", F.when(F.col("n_bytes") > 0, -F.col("share") / F.col("n_bytes"))).drop("share")
 
 
@@ -265,7 +290,7 @@ def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"] == F.col("__id"), "left_semi")
 
 
-def judged(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, sent_rows: int = SENT_ROWS) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity (per byte), threshold, kept for each row of docs."""
     spark = C.tuned(docs.sparkSession)
     scratch = C.Scratch(spark, "quality-model")
@@ -275,8 +300,7 @@ def judged(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) ->
     fold = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(5)) == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     model = train(chosen(rows, good.where(~fold)), scratch)
-    texts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text") if model is not None else rows
-    losses = scratch.save(scored(texts, model, scratch, shard_rows), "losses")
+    losses = scratch.save(scored(rows, model, scratch, sent_rows), "losses")
     held = chosen(losses, good.where(fold)).where("log_loss IS NOT NULL").withColumn("wide", widening())
     # a deviation is divided by the width of its text, so that short and long texts have one scale
     middle = held.where(f"n_bytes >= {SETTLED}").groupBy("lang").agg(F.percentile_approx("log_loss", 0.5, 10_000).alias("middle"))
