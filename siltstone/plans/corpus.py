@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, dense, ranking, sparse
+from ..operators import audit, chunking, dense, ranking, restoring, sparse
+from ..sources import tables
 
 #: Settings of the published search: BM25, fusion depth.
 K1, B, DEPTH, TOP = 0.6, 0.9, 100, 10
@@ -40,21 +44,67 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+_standing: dict[tuple[str, str, str], str] = {}
+
+
+def standing(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], None]) -> str:
+    """Where a derived table of a data folder lies: made by `make(path)` when first asked for, then read by all queries of
+    the application. The folder's tables are taken not to change meanwhile; `forget` makes all be made anew."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _standing:
+        path = f"{tables.workspace(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        make(path)
+        _standing[key] = path
+    return _standing[key]
+
+
+def forget() -> None:
+    _standing.clear()
+
+
+#: Tokens of the indexes: words without stop words, all words, syllables, syllables without accents.
+TOKENS = {"tokens": T.tokens, "words": T.words, "syllables": T.syllables, "folded": T.folded_syllables}
+
+
+def index(spark: SparkSession, sf_dir: str, kind: str = "tokens") -> sparse.Index:
+    """The standing index of all articles over one kind of tokens."""
+    make = lambda path: sparse.build(articles(spark, sf_dir), TOKENS[kind]("text")).save(path)
+    return sparse.Index.load(spark, standing(spark, sf_dir, f"index-{kind}", make))
+
+
+def model(spark: SparkSession, sf_dir: str) -> restoring.Model:
+    """The standing model of accents, learned from all articles."""
+    make = lambda path: restoring.train(articles(spark, sf_dir)).save(path)
+    return restoring.Model.load(spark, standing(spark, sf_dir, "accents", make))
+
+
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_id, article_id, vector of all chunks, by the stand-in encoder."""
+
+    def make(path: str) -> None:
+        cut = chunking.chunks(articles(spark, sf_dir).withColumn("title", F.col("document")))
+        dense.save(dense.encoded(cut, dense.hashing_encoder()), path)
+
+    return dense.load(spark, standing(spark, sf_dir, "chunks", make))
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, article_id: articles whose text contains the query's text.
+    """query_id, article_id: articles whose text contains the query's text; standing."""
+    return spark.read.parquet(standing(spark, sf_dir, "gold", lambda path: _gold(spark, sf_dir).write.parquet(path)))
+
 
-    A containing article has all the query's words but the outer two, which the text may cut; the rarest of them
-    selects candidates.
-    """
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A containing article has all the query's words but the outer two, which the text may cut; the rarest of them
+    selects candidates."""
     docs, asked = articles(spark, sf_dir), queries(spark, sf_dir)
     words = asked.select("query_id", T.words("text").alias("w"))
     inner = F.when(F.size("w") > 2, F.slice("w", F.lit(2), F.size("w") - 2)).otherwise(F.col("w"))
     terms = words.select("query_id", F.explode(inner).alias("term")).distinct()
-    index = sparse.build(docs, T.words("text"), only=terms)
-    rarest = ranking.first_per(terms.join(index.terms, "term"), ["query_id"], ["df", "term"])
-    met = rarest.join(index.postings.select("term", "article_id"), "term").select("query_id", "article_id")
+    known = index(spark, sf_dir, "words")
+    rarest = ranking.first_per(terms.join(known.terms, "term"), ["query_id"], ["df", "term"])
+    met = rarest.join(known.postings.select("term", "article_id"), "term").select("query_id", "article_id")
     rows = met.join(asked.withColumnRenamed("text", "asked"), "query_id").join(docs.select("article_id", "text"), "article_id")
-    return shared(rows.where(F.col("text").contains(F.col("asked"))).select("query_id", "article_id"))
+    return rows.where(F.col("text").contains(F.col("asked"))).select("query_id", "article_id")
 
 
 def answerable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,17 +113,15 @@ def answerable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_run(spark: SparkSession, sf_dir: str, k: int = DEPTH, k1: float = K1, b: float = B) -> DataFrame:
-    return shared(sparse.search(queries(spark, sf_dir), articles(spark, sf_dir), k, k1, b))
+    return shared(sparse.search_index(index(spark, sf_dir), queries(spark, sf_dir), k, k1, b))
 
 
 def folded_run(spark: SparkSession, sf_dir: str, k: int = DEPTH) -> DataFrame:
-    plain = T.folded_syllables("text")
-    return shared(sparse.search(queries(spark, sf_dir), articles(spark, sf_dir), k, K1, B, plain, plain))
+    return shared(sparse.search_index(index(spark, sf_dir, "folded"), queries(spark, sf_dir), k, K1, B, T.folded_syllables("text")))
 
 
 def syllable_run(spark: SparkSession, sf_dir: str, k: int = DEPTH) -> DataFrame:
-    whole = T.syllables("text")
-    return shared(sparse.search(queries(spark, sf_dir), articles(spark, sf_dir), k, K1, B, whole, whole))
+    return shared(sparse.search_index(index(spark, sf_dir, "syllables"), queries(spark, sf_dir), k, K1, B, T.syllables("text")))
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,12 +210,12 @@ def gold_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {Q.index(Q.TOKENS)} SELECT term, df, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 6) AS idf FROM terms, totals")
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse.build(P.articles(spark, sf_dir)).idf().select("term", "df", F.round("idf", 6).alias("idf"))
+    return P.index(spark, sf_dir).idf().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {Q.index(Q.TOKENS)} SELECT n_docs, round(mean_length, 6) AS mean_length, (SELECT count(*) FROM postings) AS n_postings, (SELECT count(*) FROM terms) AS n_terms FROM totals")
 def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = sparse.build(P.articles(spark, sf_dir))
+    index = P.index(spark, sf_dir)
     counts = index.terms.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"), F.count("*").alias("n_terms"))
     return index.totals.select("n_docs", F.round("mean_length", 6).alias("mean_length")).join(F.broadcast(counts))
 
@@ -244,8 +244,7 @@ def bm25_syllable_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT k1, b, round(avg(coalesce(n, 0) / n_gold), 6) AS recall FROM z CROSS JOIN grid CROSS JOIN bs LEFT JOIN h USING (k1, b, query_id) GROUP BY ALL""")
 def bm25_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = P.answerable(spark, sf_dir)
-    index = sparse.build(P.articles(spark, sf_dir), only=sparse.query_terms(asked))
-    return tuning.bm25(index, asked, P.gold(spark, sf_dir))
+    return tuning.bm25(P.index(spark, sf_dir), asked, P.gold(spark, sf_dir))
 
 
 @query(f"""WITH {Q.run('word')}, tf2 AS (SELECT article_id, query_id, term, tf, idf FROM matches), w AS (SELECT query_id, article_id, term, round(idf * (tf * 2.2) / (tf + 1.2), 4) AS weight FROM tf2 JOIN word USING (query_id, article_id) WHERE rank <= 3)
@@ -253,8 +252,7 @@ def bm25_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why the three best articles of each query were found."""
     asked, docs = P.queries(spark, sf_dir), P.articles(spark, sf_dir)
-    index = sparse.build(docs, only=sparse.query_terms(asked))
-    found = sparse.explained(P.word_run(spark, sf_dir, 3), asked, docs, index.idf())
+    found = sparse.explained(P.word_run(spark, sf_dir, 3), asked, docs, P.index(spark, sf_dir).idf())
     rows = found.select("query_id", "article_id", F.posexplode("terms").alias("at", "t"))
     return rows.select("query_id", "article_id", F.col("t.term").alias("term"), F.col("t.score").alias("weight"), (F.col("at") + 1).alias("place"))
 
@@ -493,7 +491,7 @@ def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest AS (SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM top JOIN groups USING (article_id) ANTI JOIN known USING (query_id, dup_group) WHERE rank <= 20)
     SELECT query_id, max(article_id) FILTER (n = 1) AS negative_1, max(article_id) FILTER (n = 2) AS negative_2, max(article_id) FILTER (n = 3) AS negative_3, max(article_id) FILTER (n = 4) AS negative_4 FROM rest WHERE n <= 4 GROUP BY 1 HAVING count(*) = 4""")
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.hard_negatives(P.queries(spark, sf_dir), P.gold(spark, sf_dir), P.groups(spark, sf_dir))
+    return splitting.hard_negatives(P.queries(spark, sf_dir), P.gold(spark, sf_dir), P.groups(spark, sf_dir), index=P.index(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {Q.GOLD}, {Q.CHUNKS}, one AS (SELECT query_id, min(article_id) AS article_id FROM gold GROUP BY 1), asked AS (SELECT item_id AS query_id, list_distinct({Q.TOKENS}) AS q FROM benchmark),
@@ -543,7 +541,7 @@ def lm_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
 def restore_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The folded queries, restored."""
     asked = P.queries(spark, sf_dir).select("query_id", T.folded("text").alias("text"))
-    return restoring.restored(asked, _model(spark, sf_dir)).select("query_id", "text", "restored")
+    return restoring.restored(asked, P.model(spark, sf_dir)).select("query_id", "text", "restored")
 
 
 @query()
@@ -555,14 +553,14 @@ def restore_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, form in forms:
         part = asked.select(F.lit(name).alias("form"), F.col("text").alias("truth"), form.alias("text"))
         rows = part if rows is None else rows.union(part)
-    found = restoring.restored(rows, _model(spark, sf_dir))
+    found = restoring.restored(rows, P.model(spark, sf_dir))
     before = restoring.accuracy(found, "truth", "text", ("form",)).select("form", F.col("accuracy").alias("before"))
     return restoring.accuracy(found, "truth", "restored", ("form",)).join(before, "form")
 
 
 @query()
 def lambda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return restoring.swept(P.queries(spark, sf_dir), _model(spark, sf_dir))
+    return restoring.swept(P.queries(spark, sf_dir), P.model(spark, sf_dir))
 
 
 # --- comparison and errors ----------------------------------------------------------------------------------
@@ -601,30 +599,24 @@ def tokenisation_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of all chunks by the stand-in encoder."""
-    cut = chunking.chunks(P.articles(spark, sf_dir).withColumn("title", F.col("document")))
-    return dense.encoded(cut, dense.hashing_encoder()).select("chunk_id", "article_id", "vector")
-
-
 @query()
 def robustness_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """form of the query x treatment x system, recall at 10: 18 rows, from one restoration and one search of each kind.
 
     The forms and treatments of a query are queries of one set, with ids "<form>|<treatment>|<query_id>".
     """
-    asked, gold, docs = P.answerable(spark, sf_dir), P.gold(spark, sf_dir), P.articles(spark, sf_dir)
+    asked, gold = P.answerable(spark, sf_dir), P.gold(spark, sf_dir)
     forms = {"accented": F.col("text"), "half": T.half_stripped("text", F.col("query_id")), "folded": T.folded("text")}
     each = F.explode(F.array(*(F.struct(F.lit(name).alias("form"), text.alias("text")) for name, text in forms.items())))
     changed = asked.select("query_id", each.alias("x")).select("query_id", "x.form", "x.text")
-    fixed = restoring.restored(changed, _model(spark, sf_dir))
+    fixed = restoring.restored(changed, P.model(spark, sf_dir))
     named = lambda rows, treatment, text: rows.select(F.concat_ws("|", "form", F.lit(treatment), "query_id").alias("query_id"), F.col(text).alias("text"))
     every = P.shared(named(changed, "none", "text").union(named(fixed, "restored", "restored")))
     plain, folded = T.folded_syllables("text"), named(changed.where("form = 'folded'"), "folded_index", "text")
     vectors = P.shared(dense.encode_queries(every.union(folded), dense.hashing_encoder()))
-    runs = {"bm25": sparse.search(every, docs, P.DEPTH, P.K1, P.B), "dense": dense.search(vectors, _vectors(spark, sf_dir), P.DEPTH)}
+    runs = {"bm25": sparse.search_index(P.index(spark, sf_dir), every, P.DEPTH, P.K1, P.B), "dense": dense.search(vectors, P.chunk_vectors(spark, sf_dir), P.DEPTH)}
     runs = {name: P.shared(run) for name, run in runs.items()}
-    alone = P.shared(sparse.search(folded, docs, P.DEPTH, P.K1, P.B, plain, plain))
+    alone = P.shared(sparse.search_index(P.index(spark, sf_dir, "folded"), folded, P.DEPTH, P.K1, P.B, plain))
     runs["fused"] = fusion.weighted(runs["bm25"], runs["dense"].where("query_id NOT LIKE '%|folded_index|%'"), 0.75, P.TOP)
     runs["bm25_folded"], runs["fused_folded"] = alone, fusion.weighted(alone, runs["dense"].where("query_id LIKE '%|folded_index|%'"), 0.75, P.TOP)
     rows = None
@@ -640,9 +632,9 @@ def robustness_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def restore_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries that restoration gets wholly right or not, and hits lost and gained by searching with the restored form."""
-    asked, gold, docs = P.answerable(spark, sf_dir), P.gold(spark, sf_dir), P.articles(spark, sf_dir)
-    fixed = restoring.restored(asked.select("query_id", F.col("text").alias("truth"), T.folded("text").alias("text")), _model(spark, sf_dir))
-    after = sparse.search(fixed.select("query_id", F.col("restored").alias("text")), docs, P.TOP, P.K1, P.B)
+    asked, gold = P.answerable(spark, sf_dir), P.gold(spark, sf_dir)
+    fixed = restoring.restored(asked.select("query_id", F.col("text").alias("truth"), T.folded("text").alias("text")), P.model(spark, sf_dir))
+    after = sparse.search_index(P.index(spark, sf_dir), fixed.select("query_id", F.col("restored").alias("text")), P.TOP, P.K1, P.B)
     hits = metrics.hit_matrix({"before": P.word_run(spark, sf_dir, P.TOP), "after": after}, gold, asked)
     rows = hits.join(fixed.select("query_id", (F.col("restored") == F.col("truth")).alias("complete")), "query_id")
     return restoring.effect(rows.select("complete", (F.col("before") == 1).alias("before"), (F.col("after") == 1).alias("after")))
@@ -688,10 +680,9 @@ def upsert_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The assistant with all its parts: restored once, searched by words and by vectors, fused."""
     asked, docs = P.queries(spark, sf_dir), P.articles(spark, sf_dir)
-    fixed = P.shared(restoring.restored(asked, _model(spark, sf_dir)).select("query_id", "text", "restored"))
+    fixed = P.shared(restoring.restored(asked, P.model(spark, sf_dir)).select("query_id", "text", "restored"))
     used = fixed.select("query_id", F.col("restored").alias("text"))
-    index = sparse.build(docs, only=sparse.query_terms(used))
-    return assistant.answers(asked, docs, index, fixed, _vectors(spark, sf_dir), dense.encode_queries(used, dense.hashing_encoder()))
+    return assistant.answers(asked, docs, P.index(spark, sf_dir), fixed, P.chunk_vectors(spark, sf_dir), dense.encode_queries(used, dense.hashing_encoder()))
 
 
 @query()
@@ -711,5 +702,5 @@ def lookup_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lookup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The assistant by words alone, on questions as they are."""
     asked, docs = P.queries(spark, sf_dir), P.articles(spark, sf_dir)
-    found = assistant.answers(asked, docs, sparse.build(docs, only=sparse.query_terms(asked)))
+    found = assistant.answers(asked, docs, P.index(spark, sf_dir))
     return found.select("query_id", "rank", "article_id", "score", "n_terms", F.col("terms")[0]["term"].alias("first_term"), "snippet")

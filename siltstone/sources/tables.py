@@ -5,7 +5,10 @@ Schemas are declared; missing text is the empty text; a missing file is an error
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -119,3 +122,25 @@ def reused(spark: SparkSession, path: str, base: DataFrame, key: str, make) -> D
     return spark.read.parquet(path)
 
 
+
+
+def workspace(spark: SparkSession) -> str:
+    """A folder for derived tables that all executors share: in spark.checkpoint.dir, else in the warehouse; in a single
+    local process without the former a temporary folder. What an application leaves is removed as its driver ends."""
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if app not in _spaces:
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and (master == "local" or master.startswith("local[")):
+            where = tempfile.mkdtemp(prefix="siltstone-")
+        _spaces[app] = f"{(where or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/siltstone-{app}"
+        atexit.register(_remove, spark, _spaces[app])
+    return _spaces[app]
+
+
+_spaces: dict[str, str] = {}
+
+
+def _remove(spark: SparkSession, where: str) -> None:
+    with contextlib.suppress(Exception):  # the application may have ended, and its files with it
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
