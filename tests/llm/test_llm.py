@@ -658,6 +658,25 @@ def test_odd_rows(spark, odd, labels):
     assert len(clean) == n - 2
 
 
+def test_odd_rows_have_stated_values(spark, odd, labels):
+    texts = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    rows = lambda df, *names: sorted((tuple(r[c] for c in ("doc_id", *names)) for r in df.collect()), key=repr)
+    assert rows(secrets.found(odd), "n_assign", "n_access", "n_hex", "n_grammar", "base_sha256", "spans") == sorted(((i, 0, 0, 0, 0, EMPTY_SHA, "") for i, _ in texts), key=repr)
+    assert rows(pii.found(odd), "n_email", "n_ip", "n_card", "n_phone", "n_added", "base_sha256", "spans") == sorted(((i, 0, 0, 0, 0, 0, EMPTY_SHA, "") for i, _ in texts), key=repr)
+    near = {(r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect()}
+    assert near == {(1, False, 1, True), (2, False, 2, True), (3, False, 3, True), (4, True, 4, True), (5, True, 5, True), (None, True, None, True), (6, True, 6, True), (7, True, 7, True), (8, True, 7, False)}
+    cut = zip(texts, repeated_strings([t for _, t in texts]), strict=True)
+    assert rows(substrings.removed(odd), "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((i, *x) for (i, _), x in cut), key=repr)
+    counted = rows(quality_rules.judged(odd, labels), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert counted == sorted(((i, *rule_counts(t)) for i, t in texts), key=repr)
+    named = {r.doc_id: (r.lang_pred, r.score) for r in language.identified(odd).collect()}
+    assert all(named[k] == ("und", 0.0) for k in (1, 2, 3)) and named[4][0] != "und" and 0 <= named[4][1] <= 1
+    judged = by_id(quality_model.judged(odd, labels))
+    assert not any(judged[k].kept or judged[k].perplexity is not None for k in (1, 2)) and judged[4].perplexity > 1
+    pieces = packing.packed(odd, packing.vocabulary_file())
+    assert sorted(((r.doc_id, r.start, r.length) for r in pieces.collect() if r.doc_id in (1, 2, 3))) == [(1, 0, 1), (2, 0, 1), (3, 0, 1)]
+
+
 def test_empty_tables(spark, odd, labels):
     none, no_labels = odd.where("false"), labels.where("false")
     bench = spark.createDataFrame([], "item_id long, text string")

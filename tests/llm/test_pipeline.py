@@ -1,6 +1,7 @@
 """The pipeline's stages: columns, effect of decisions, and whole results."""
 
 import re
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +75,49 @@ def test_run_is_the_stages_in_order(spark, stages):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     key = lambda df: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
     assert key(got) == key(stages[5])
+
+
+def long_prose(k):
+    return " ".join(f"The{k} word{i * k % 97} number{i} of text{k} stands here." for i in range(12))
+
+
+ODD = [(1, None), (2, ""), (3, "  \n "), (4, " ".join(f"w{k}" for k in range(30_000))), (5, long_prose(1)), (5, long_prose(1)), (None, long_prose(1)), (6, "é ü 漢字 😀"), (7, long_prose(2)), (8, long_prose(2) + " token=abcdefgh12")]
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in ODD], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("row", "n", "key", "kept", "rep", "salt", "length"):
+        df = df.withColumn(name, F.lit("x"))
+    return df.cache()
+
+
+@pytest.mark.parametrize("rows", [True, False])
+def test_each_stage_on_odd_rows_and_on_none(spark, odd_docs, rows):
+    """What the stages' docstrings say of null, empty and repeated rows, ties, and tables without rows."""
+    docs = odd_docs if rows else odd_docs.where("false")
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        if name != "packing":
+            assert out.columns == docs.columns
+        got[name] = sorted((r.doc_id for r in out.collect()), key=repr)
+    if not rows:
+        assert not any(got.values())
+        return
+    every = sorted((i for i, _ in ODD), key=repr)
+    assert got["quality_rules"] == sorted((i for i in every if i not in (1, 2, 3, 6)), key=repr)
+    assert got["minhash"] == sorted([1, 2, 3, 4, 5, 6, 7, None], key=repr)
+    assert got["decontaminate"] == got["secrets"] == every
+    assert set(got["packing"]) == set(every)
+
+
+@pytest.mark.parametrize("rows", [True, False])
+def test_run_on_odd_rows_and_on_none(spark, odd_docs, rows, tmp_path):
+    docs = odd_docs if rows else odd_docs.where("false")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == ({4, 5, 7, None} if rows else set())
+    assert sum(r.doc_id == 5 and r.piece == 0 for r in got) == rows
