@@ -219,7 +219,7 @@ def held_out() -> Column:
 
 def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     """Texts (word runs) and languages to learn from."""
-    usable = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
+    usable = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
     counts = C.Scratch(docs.sparkSession, "language").save(usable.groupBy("lang").agg(F.least(F.lit(1.0), PER_LANGUAGE / F.count("*")).alias("share")), "counts")
     languages = counts.count()
     if not languages:
