@@ -29,7 +29,7 @@ from . import common as C
 from . import kernels as K
 
 SEED, SCORE, SHORT = 3, 0.5, 8
-NEAR, SPREAD = 2, 8
+NEAR, SPREAD = 2, 100
 BLOCK_CHARS = 8_000_000
 SCHEMA = "doc_id long, item_id long, score double, first_word long, last_word long"
 _SMALL = (1 << 20) - 1
@@ -117,6 +117,7 @@ def _leaks(seeds: Seeds, words: np.ndarray, lo: int, hi: int, item: int, places:
     items = seeds.items
     target = items.words[items.firsts[item] : items.firsts[item + 1]]
     size, best = len(target), (0.0, 0, 0)
+    least = SCORE if size >= SHORT else 1.0
     groups: list[list[int]] = []
     for p in sorted(set(places)):
         if 0 <= p - lo and p + size <= hi and (words[p : p + size] == target).all():
@@ -127,10 +128,12 @@ def _leaks(seeds: Seeds, words: np.ndarray, lo: int, hi: int, item: int, places:
             groups.append([p, p])
     for first, last in groups:
         a, b = max(lo, first - size), min(hi, last + 2 * size)
+        if np.isin(target, words[a:b]).sum() < least * size:
+            continue  # each of the item's words adds 2 at most, and only if the text has it there
         score, start, end = align(target, words[a:b])
         if score / (2 * size) > best[0]:
             best = (score / (2 * size), a + start - lo, a + end - lo)
-    return best if best[0] >= (SCORE if size >= SHORT else 1.0) else None
+    return best if best[0] >= least else None
 
 
 def _document_grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
