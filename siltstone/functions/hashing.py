@@ -21,9 +21,7 @@ def content_hash(text: Column) -> Column:
 
 def token_hash(token: Column) -> Column:
     """64 bits of a token's MD5, as a bigint."""
-    digest = F.md5(token)
-    high, low = (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9))
-    return F.shiftleft(high, 32).bitwiseOR(low)
+    return F.conv(F.substring(F.md5(token), 1, 16), 16, -10).cast("long")  # a negative base gives signed numbers
 
 
 def blake_hash(token: Column) -> Column:
