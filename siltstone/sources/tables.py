@@ -8,6 +8,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import json
+import shutil
 import tempfile
 from collections.abc import Iterable
 
@@ -132,6 +133,7 @@ def workspace(spark: SparkSession) -> str:
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where and (master == "local" or master.startswith("local[")):
             where = tempfile.mkdtemp(prefix="siltstone-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
         _spaces[app] = f"{(where or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/siltstone-{app}"
         atexit.register(_remove, spark, _spaces[app])
     return _spaces[app]
