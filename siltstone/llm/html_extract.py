@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Layouts whose pages and templates are broadcast; more are joined by a shuffle.
-LAYOUTS_SENT = 2_000
+#: Layouts whose first pages and templates are broadcast, and bytes of these; more are joined by a shuffle.
+LAYOUTS_SENT, BYTES_SENT = 2_000, 32_000_000
 #: Different main texts of a layout from which constants inside its articles are template.
 MAINS = 3
 
@@ -342,47 +342,105 @@ def _host(column: str) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(column), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _laid_out(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, host and layout, and the digest of its text, of each row of pages."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host("url").alias("host"))
+def _rows(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, host of each row of pages."""
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host("url").alias("host"))
+
+
+def _laid_out(rows: DataFrame) -> DataFrame:
+    """The rows with layout, for joins with more layouts than are sent to the tasks."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kinds, mains = [], []
-        for page in batch.column("html").to_pylist():
-            tree = parse(page or "")
-            kinds.append(layout(tree))
-            mains.append(_key("", extract(tree, frozenset())))
-        return C.record(**{c: batch.column(c) for c in ("page_id", "url", "html", "host")}, layout=kinds, main=mains)
+        kinds = [layout(parse(page or "")) for page in batch.column("html").to_pylist()]
+        return C.record(**{c: batch.column(c) for c in batch.schema.names}, layout=kinds)
+
+    return C.arrow_map(rows, work, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema.fields)}, layout string", "html")
+
+
+def _texts(tree: Node) -> set[tuple[str, str]]:
+    """Path and text of each text node."""
+    paths: list[tuple[Node, str]] = []
+    _flat(tree, "", paths)
+    return {(p, t) for n, p in paths for k in n.kids if isinstance(k, str) and (t := _clean(k))}
+
 
-    return C.arrow_map(rows, work, "page_id long, url string, html string, host string, layout string, main string", "html")
+class Aligned:
+    """What all pages of one layout that a task has met share with the layout's first page."""
 
+    def __init__(self, first: str):
+        self.tree, self.seen = parse(first), 0
+        self.alive = _texts(self.tree)
 
-def wrappers(laid: DataFrame) -> DataFrame:
+    def add(self, page: str, tree: Node | None = None) -> None:
+        """A node that one page lacks is no template, whatever comes; without any node left no page need be aligned."""
+        self.seen += 1
+        if self.alive:
+            tree = tree or parse(page)
+            self.alive &= _texts(tree)
+        if self.alive:
+            same = constants(self.tree, tree)
+            self.alive = {x for x in self.alive if _key(*x) in same}
+
+
+def wrappers(rows: DataFrame) -> DataFrame:
     """host, layout, deep and template (keys of constant nodes) of the layouts that have one."""
-    scratch = C.Scratch(laid.sparkSession, "wrappers")
-    rows = laid.where("host <> '' AND html IS NOT NULL")
-    first = F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("first")
-    firsts = rows.groupBy("host", "layout").agg(first, F.count("*").alias("n"))
-    mains = rows.select("host", "layout", "main").distinct().groupBy("host", "layout").agg(F.count("*").alias("mains")).where("mains > 1")
-    firsts = scratch.save(firsts.join(mains, ["host", "layout"]).select("host", "layout", "first", "n", (F.col("mains") >= MAINS).alias("deep")), "firsts")
-    few = firsts.count() <= LAYOUTS_SENT
-    pairs = rows.select("host", "layout", "html").join(F.broadcast(firsts) if few else firsts, ["host", "layout"])
-
-    def run(batches):
-        tree: tuple[str, Node | None] = "", None
-        for batch in batches:
-            for part in C.slices(batch, "html"):
-                times: dict[tuple, int] = {}
-                for host, kind, n, first, page in sorted(zip(*(part.column(c).to_pylist() for c in ("host", "layout", "n", "first", "html")), strict=True)):
-                    if tree[1] is None or tree[0] != first:
-                        tree = first, parse(first)
-                    for k in constants(tree[1], parse(page)):
-                        times[host, kind, n, k] = times.get((host, kind, n, k), 0) + 1
-                if times:
-                    host, kind, n, key = zip(*times, strict=True)
-                    yield C.record(host=list(host), layout=list(kind), n=list(n), key=list(key), c=list(times.values()))
-
-    found = pairs.mapInArrow(run, "host string, layout string, n long, key string, c long")
+    scratch = C.Scratch(rows.sparkSession, "wrappers")
+    rows = rows.where("host <> '' AND html IS NOT NULL")
+    hashed = rows.select("host", "html", F.xxhash64("html").alias("h"))
+
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        trees = [parse(page) for page in batch.column("html").to_pylist()]
+        return C.record(host=batch.column("host"), h=batch.column("h"), layout=[layout(t) for t in trees], main=[_key("", extract(t, frozenset())) for t in trees])
+
+    slim = scratch.save(C.arrow_map(hashed, read, "host string, h long, layout string, main string", "html"), "slim")
+    mains = slim.select("host", "layout", "main").distinct().groupBy("host", "layout").agg(F.count("*").alias("mains")).where("mains > 1")
+    least = slim.groupBy("host", "layout").agg(F.min("h").alias("h"), F.count("*").alias("n"))
+    chosen = scratch.save(least.join(mains, ["host", "layout"]).select("host", "layout", "h", "n", (F.col("mains") >= MAINS).alias("deep")), "chosen")
+    few = chosen.count() <= LAYOUTS_SENT
+    firsts = hashed.join(F.broadcast(chosen) if few else chosen, ["host", "h"]).groupBy("host", "layout", "n", "deep").agg(F.min("html").alias("first"))
+    firsts = scratch.save(firsts, "firsts")
+    few = few and (firsts.agg(F.coalesce(F.sum(F.octet_length("first").cast("long")), F.lit(0))).first()[0]) <= BYTES_SENT
+
+    def counted(met: dict[tuple[str, str, int], Aligned]) -> pa.RecordBatch | None:
+        found = [(host, kind, n, _key(*x), a.seen) for (host, kind, n), a in met.items() for x in a.alive]
+        if not found:
+            return None
+        host, kind, n, key, c = zip(*found, strict=True)
+        return C.record(host=list(host), layout=list(kind), n=list(n), key=list(key), c=list(c))
+
+    schema = "host string, layout string, n long, key string, c long"
+    if few:  # one reading of each page
+        shared = rows.sparkSession.sparkContext.broadcast({(r.host, r.layout): (r.n, r.first) for r in firsts.collect()})
+
+        def run(batches):
+            met: dict[tuple[str, str, int], Aligned] = {}
+            for batch in batches:
+                for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                    tree = parse(page)
+                    place = host, layout(tree)
+                    if found := shared.value.get(place):
+                        key = (*place, found[0])
+                        if key not in met:
+                            met[key] = Aligned(found[1])
+                        met[key].add(page, tree)
+            if (out := counted(met)) is not None:
+                yield out
+
+        found = rows.select("host", "html").mapInArrow(run, schema)
+    else:  # pages come with their layout's first one; what a task knows of a layout is handed on with each batch
+
+        def run(batches):
+            for batch in batches:
+                met: dict[tuple[str, str, int], Aligned] = {}
+                for host, kind, n, first, page in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "n", "first", "html")), strict=True):
+                    if (host, kind, n) not in met:
+                        met[host, kind, n] = Aligned(first)
+                    met[host, kind, n].add(page)
+                if (out := counted(met)) is not None:
+                    yield out
+
+        pairs = _laid_out(rows.select("host", "html")).join(firsts, ["host", "layout"])
+        found = pairs.select("host", "layout", "n", "first", "html").mapInArrow(run, schema)
     found = found.groupBy("host", "layout", "n", "key").agg(F.sum("c").alias("c")).where("c = n")
     keys = found.groupBy("host", "layout").agg(F.sort_array(F.collect_list("key")).alias("template"))
     return scratch.save(keys.join(firsts.select("host", "layout", "deep"), ["host", "layout"]), "wrappers")
@@ -391,18 +449,33 @@ def wrappers(laid: DataFrame) -> DataFrame:
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages."""
     C.tuned(pages.sparkSession)
-    laid = _laid_out(pages)
-    found = wrappers(laid)
-    rows = laid.join(F.broadcast(found) if found.count() <= LAYOUTS_SENT else found, ["host", "layout"], "left").select("page_id", "url", "html", "template", "deep")
+    rows = _rows(pages)
+    found = wrappers(rows)
+    size = found.agg(F.coalesce(F.sum(F.size("template").cast("long")), F.lit(0))).first()[0]
+    few = found.count() <= LAYOUTS_SENT and 16 * size <= BYTES_SENT
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = []
-        for page, template, deep in zip(batch.column("html").to_pylist(), batch.column("template"), batch.column("deep").to_pylist(), strict=True):
-            keys = template.as_py() or ()
-            texts.append(extract(parse(page), frozenset(keys), bool(deep)) if page else "")
+    def result(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         return C.record(page_id=batch.column("page_id"), url=batch.column("url"), text=pa.array(texts, pa.string()), n_chars=pa.array([len(t) for t in texts], pa.int64()))
 
-    return C.arrow_map(rows, work, "page_id long, url string, text string, n_chars long", "html")
+    schema = "page_id long, url string, text string, n_chars long"
+    if few:
+        shared = pages.sparkSession.sparkContext.broadcast({(r.host, r.layout): (frozenset(r.template), r.deep) for r in found.collect()})
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = []
+            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                tree = parse(page or "")
+                texts.append(extract(tree, *(shared.value.get((host, layout(tree))) or (frozenset(),))) if page else "")
+            return result(batch, texts)
+
+        return C.arrow_map(rows, work, schema, "html")
+
+    def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+        each = zip(batch.column("html").to_pylist(), batch.column("template"), batch.column("deep").to_pylist(), strict=True)
+        return result(batch, [extract(parse(page), frozenset(template.as_py() or ()), bool(deep)) if page else "" for page, template, deep in each])
+
+    rows = _laid_out(rows).join(found, ["host", "layout"], "left").select("page_id", "url", "html", "template", "deep")
+    return C.arrow_map(rows, joined, schema, "html")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

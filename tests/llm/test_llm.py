@@ -517,8 +517,10 @@ def test_each_layout_has_its_template(spark):
     assert not any("says this" in got[k] for k in (40, 42))
 
 
-def test_wrappers_find_articles_that_no_name_marks(spark):
+@pytest.mark.parametrize("sent", [2_000, 0])
+def test_wrappers_find_articles_that_no_name_marks(spark, sent, monkeypatch):
     """Plain divisions without a telling element, class or link: what all pages of a host share goes, whatever its length."""
+    monkeypatch.setattr(html_extract, "LAYOUTS_SENT", sent)
     long = prose(77, 60)
     page = lambda k: f"<html><body><div><p>Start</p><p>Goods and prices</p></div><div><h1>Story {k}</h1><p>{prose(k, 30)}</p><p>{prose(-k, 12)}</p></div><div><p>{long}</p><p>All rights reserved</p></div></body></html>"
     inner = lambda k: f"<html><body><article><p>{prose(500 + k, 20)}</p><p>{long}</p></article><div>x</div></body></html>"
