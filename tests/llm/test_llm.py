@@ -152,6 +152,24 @@ def test_packing_round_trip(spark):
     assert len(bins) <= -(-total // 2048) + 1
 
 
+def test_words_are_encoded_once_in_all_their_cases_and_marks():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from siltstone.llm import common
+
+    encoder, tokenizer = packing.Encoder(packing.vocabulary_file()), Tokenizer.from_file(packing.vocabulary_file())
+    words = sorted({*(prose(k, 3).split()[0] for k in range(300)), "été", "straße", "über"})
+    texts = [mark.format(case(w)) for w in words for case in (str.lower, str.capitalize) for mark in ("{}", "{}.", "({})", '"{}",', "{}12")]
+    parts = ["a", "É", "ß", "×", "ÿ", "e\u0301", "\u0301", "œ", "İ", "'s", "'LL", "7", "٣", ".", "<|endoftext|>", "<|Endoftext|>", "endoftext", " ", "\n", "\x01", "\x1c", "\x85", "漢", "한", "😀"]
+    rng = random.Random(8)
+    odd = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    for some, most in ((texts, len(words) + 20), (odd, len(odd) * 10)):
+        ids, firsts = encoder.encode(*common.utf8(pa.array(some)))
+        assert [ids[a:b].tolist() for a, b in zip(firsts[:-1], firsts[1:], strict=True)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+        assert len(encoder.keys) <= most
+
+
 def test_fullest_combination_is_optimal():
     rng = random.Random(6)
     for _ in range(40):
