@@ -1,6 +1,6 @@
 """Restoring accents with a bigram model: counts as tables, best paths by Viterbi.
 
-Training is grouped counts in the JVM. Decoding goes from left to right over each word's spellings, in
+Training is grouped counts in the JVM; of a model for stated texts only what these need is counted, beside the totals. Decoding goes from left to right over each word's spellings, in
 Arrow batches. Joins pick the counts that the given texts may need; only these go to the tasks, for blocks of texts that
 are made smaller until a block needs no more than a stated number.
 """
@@ -11,7 +11,9 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +47,15 @@ class Model:
         return Model(*(tables.saved(spark, f"{path}/{name}", "restoring.train(...).save") for name in ("words", "pairs", "spellings", "totals")))
 
 
-def train(texts: DataFrame, column: str = "text") -> Model:
-    """Counts of all words, of neighbours within a text, and which forms each folded word was seen in."""
+def train(texts: DataFrame, column: str = "text", only: DataFrame | None = None) -> Model:
+    """Counts of all words, of neighbours within a text, and which forms each folded word was seen in.
+
+    `only` (a column text: a stated set) leaves what restoring these texts needs: the forms of their words, and of neighbours
+    those that are forms of neighbours there. The totals are of all words.
+    """
     rows = texts.select(T.syllables(column).alias("s"))
+    if only is not None:
+        return _needed(rows, only)
     words = rows.select(F.explode_outer("s").alias("w")).where("w IS NOT NULL").groupBy("w").agg(F.count("*").alias("c"))
     neighbours = F.arrays_zip(F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))).alias("w1"), F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0))).alias("w2"))
     pairs = rows.select(F.explode_outer(neighbours).alias("p")).where("p IS NOT NULL").groupBy("p.w1", "p.w2").agg(F.count("*").alias("c"))
@@ -56,6 +64,60 @@ def train(texts: DataFrame, column: str = "text") -> Model:
     return Model(words, pairs, spellings, totals)
 
 
+def _needed(rows: DataFrame, only: DataFrame) -> Model:
+    """The part of the model of rows (s) that the texts may need. All other words make two numbers."""
+    spark = rows.sparkSession
+    plains = only.select(T.composed("text").alias("t")).select(F.transform(_lower_words(T.parts("t")), T.folded).alias("p")).distinct()
+    lists = [r.p for r in plains.collect()]
+    number = {p: k for k, p in enumerate(sorted({p for x in lists for p in x}))}
+    beside = np.array(sorted({number[x] * len(number) + number[y] for p in lists for x, y in zip(p, p[1:], strict=False)}), np.int64)
+    wanted = spark.createDataFrame([(p, True) for p in number], "plain string, wanted boolean")
+    words = rows.select(F.explode_outer("s").alias("w")).where("w IS NOT NULL").groupBy("w").agg(F.count("*").alias("c"))
+    each = words.withColumn("plain", T.folded("w")).join(F.broadcast(wanted), "plain", "left")
+    own = lambda name: F.when(F.col("wanted"), F.col(name)).alias(name)
+    found = each.groupBy(own("plain"), own("w")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
+    known = sorted((r.plain, r.w, r.c) for r in found if r.w is not None)
+    n_words, n_forms = sum(r.c for r in found), sum(r.n for r in found)
+    names, plain = pa.array([w for _, w, _ in known], pa.string()), np.array([number[p] for p, _, _ in known], np.int64)
+    shared = spark.sparkContext.broadcast((names, plain, beside, len(number)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, plain, beside, n = shared.value
+        keys, counts, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            every, at = np.unique(np.concatenate([keys, *waiting]), return_inverse=True)
+            weights = np.concatenate([counts, np.ones(len(at) - len(keys), np.int64)])
+            return every, np.bincount(at, weights=weights, minlength=len(every)).astype(np.int64)
+
+        for batch in batches:
+            s = batch.column("s")
+            ids = pc.index_in(s.flatten(), value_set=names).fill_null(-1).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(s)), s.value_lengths().fill_null(0).to_numpy())
+            first = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & (row[:-1] == row[1:]))
+            one, two = ids[first], ids[first + 1]
+            met = np.isin(plain[one] * n + plain[two], beside)
+            waiting.append(one[met] * len(names) + two[met])
+            if sum(map(len, waiting)) > SENT:
+                keys, counts = summed()
+                waiting = []
+        keys, counts = summed()
+        one, two = np.divmod(keys, max(1, len(names)))
+        for at in range(0, len(keys), 50_000):
+            some = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(one[some])), names.take(pa.array(two[some])), pa.array(counts[some])], names=["w1", "w2", "c"])
+
+    pairs = tables.batched(rows).mapInArrow(run, "w1 string, w2 string, c long").groupBy("w1", "w2").agg(F.sum("c").alias("c"))
+    spellings = spark.createDataFrame(known, "plain string, w string, c long")
+    totals = spark.createDataFrame([(n_words, n_forms)], "n_words long, n_forms long")
+    return Model(spellings.select("w", "c"), pairs, spellings, totals)
+
+
+def _lower_words(parts: Column | str) -> Column:
+    """The words among the parts of a text, in lower case."""
+    return F.transform(F.filter(parts, lambda p: p.rlike(T.WORD)), F.lower)
+
+
 def pair_chances(model: Model, weight: float = WEIGHT) -> DataFrame:
     """w1, w2, p, log_p of every seen pair."""
     first = model.words.select(F.col("w").alias("w1"), F.col("c").alias("c1"))
@@ -136,8 +198,7 @@ def restored(texts: DataFrame, model: Model, weights: tuple[float, ...] = (WEIGH
     needs.
     """
     rows = texts.withColumn("__parts", T.parts(T.composed(column)))
-    lower = F.transform(F.filter("__parts", lambda p: p.rlike(T.WORD)), F.lower)
-    rows = rows.withColumn("__s", lower).withColumn("__plain", F.transform("__s", T.folded))
+    rows = rows.withColumn("__s", _lower_words("__parts")).withColumn("__plain", F.transform("__s", T.folded))
     totals, out, todo = model.totals.first(), None, [(rows, 1, 0)]
     while todo:
         some, blocks, number = todo.pop()

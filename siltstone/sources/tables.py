@@ -25,6 +25,8 @@ QUERY_LINES = S.StructType([S.StructField("_id", _S), S.StructField("text", _S)]
 QREL_LINES = S.StructType([S.StructField("query-id", _S), S.StructField("corpus-id", _S), S.StructField("score", S.DoubleType())])
 RUN = S.StructType([S.StructField("query_id", _S), S.StructField("article_id", _S), S.StructField("score", S.DoubleType()), S.StructField("rank", S.IntegerType())])
 SPLITS = ("train", "val", "test")
+#: Rows of one Arrow batch between the JVM and Python, so that batches of long texts stay small.
+BATCH_ROWS = 1000
 
 
 def _present(spark: SparkSession, path: str, remedy: str) -> None:
@@ -33,6 +35,12 @@ def _present(spark: SparkSession, path: str, remedy: str) -> None:
         raise FileNotFoundError(f"{path} is missing; {remedy}")
 
 
+def batched(rows: DataFrame) -> DataFrame:
+    """The rows, in a session whose Arrow batches are bounded."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return rows
+
+
 def saved(spark: SparkSession, path: str, maker: str) -> DataFrame:
     """A Parquet table that `maker` writes."""
     _present(spark, path, f"{maker} writes it")
