@@ -33,7 +33,8 @@ def answers(
     found = sparse.explained(run, used, articles, index.idf())
     title = F.col("title") if "title" in articles.columns else F.substring_index("text", "\n", 1)
     shown = articles.select("article_id", title.alias("title"), T.snippet("text", title if "title" in articles.columns else None, chars).alias("snippet"))
-    rows = run.join(found, ["query_id", "article_id"]).join(shown, "article_id").join(asked, "query_id")
+    # the few rows of the run go to where the texts are
+    rows = shown.join(F.broadcast(run.join(found, ["query_id", "article_id"])), "article_id").join(asked, "query_id")
     return rows.select(
         "query_id", "asked", "used", (F.col("asked") != F.col("used")).alias("is_restored"), "rank", "article_id", "title", "score", "snippet", "terms", F.size("terms").cast("long").alias("n_terms")
     )

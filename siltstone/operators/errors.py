@@ -22,7 +22,7 @@ def failures(run: DataFrame, gold: DataFrame, queries: DataFrame, titles: DataFr
     hit = run.where(F.col("rank") <= k).join(gold.select("query_id", "article_id"), ["query_id", "article_id"], "left_semi").select("query_id").distinct()
     bad = queries.join(hit, "query_id", "left_anti")
     one = gold.groupBy("query_id").agg(F.min("article_id").alias("gold_id"))
-    top = run.where(F.col("rank") <= shown).join(titles, "article_id")
+    top = titles.join(F.broadcast(run.where(F.col("rank") <= shown)), "article_id")  # a few rows a query
     tops = top.groupBy("query_id").agg(*(F.max(F.when(F.col("rank") == r, F.col("title"))).alias(f"top_{r}") for r in range(1, shown + 1)))
     return bad.join(one, "query_id").join(tops, "query_id", "left")
 

@@ -60,8 +60,11 @@ def hard_negatives(queries: DataFrame, gold: DataFrame, articles: DataFrame, n:
     """
     terms = sparse.query_terms(queries).withColumn("qtf", F.lit(1))
     index = index or sparse.build(articles, only=terms)
-    top = ranked(sparse.scores(index, terms), 5 * n).join(articles.select("article_id", "dup_group"), "article_id")
-    known = gold.select("query_id", "article_id").join(articles.select("article_id", "dup_group"), "article_id").select("query_id", "dup_group").distinct()
+    # the articles of the run and of gold go to where the texts are, whose groups are then all that is kept
+    top, gold = ranked(sparse.scores(index, terms, k=5 * n), 5 * n), gold.select("query_id", "article_id")
+    asked = top.select("article_id").union(gold.select("article_id")).distinct()
+    groups = articles.select("article_id", "dup_group").join(F.broadcast(asked), "article_id", "left_semi")
+    top, known = top.join(groups, "article_id"), gold.join(groups, "article_id").select("query_id", "dup_group").distinct()
     rest = top.join(known, ["query_id", "dup_group"], "left_anti")
     some = first_per(rest, ["query_id"], ["rank"], n)
     sorted_ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "article_id"))), lambda r: r["article_id"])

@@ -18,8 +18,6 @@ BS = (0.3, 0.5, 0.75, 0.9)
 CONSTANTS = (10, 20, 60, 100)
 ALPHAS = tuple(round(0.05 * k, 2) for k in range(21))
 TUNE_K = 10
-#: Pairs of gold whose scores are broadcast; more are joined by a shuffle.
-GOLD_SENT = 200_000
 
 
 def settings(spark: SparkSession, **axes: Sequence) -> DataFrame:
@@ -37,23 +35,13 @@ def _spread(rows: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def bm25(index: sparse.Index, queries: DataFrame, gold: DataFrame, k1s: Sequence[float] = K1S, bs: Sequence[float] = BS, k: int = TUNE_K) -> DataFrame:
-    """k1, b, recall of every setting, from one aggregate over the postings.
-
-    Recall needs the places of gold articles alone: how many articles of the query are better by each setting (or equal, with
-    a lesser id) is counted beside each gold article's scores, so that nothing is ranked or sorted.
-    """
-    axes = [(k1, b) for k1 in k1s for b in bs]
+    """k1, b, recall of every setting, from one reading of the index: its tasks keep the best k by each setting and query."""
+    grid = settings(queries.sparkSession, k1=[float(x) for x in k1s], b=[float(x) for x in bs])
     gold = gold.select("query_id", "article_id").distinct().join(queries.select("query_id").distinct(), "query_id", "left_semi")
-    scores = sparse.grid_scores(index, sparse.query_terms(queries), axes)
-    own = scores.join(gold, ["query_id", "article_id"]).select("query_id", F.col("article_id").alias("own"), *(F.col(f"s{n}").alias(f"g{n}") for n in range(len(axes))))
-    own = F.broadcast(own) if gold.count() <= GOLD_SENT else own
-    better = lambda n: (F.col(f"s{n}") > F.col(f"g{n}")) | ((F.col(f"s{n}") == F.col(f"g{n}")) & (F.col("article_id") < F.col("own")))
-    places = scores.join(own, "query_id").groupBy("query_id", "own").agg(*(F.count_if(better(n)).alias(f"r{n}") for n in range(len(axes))))
-    hits = places.groupBy("query_id").agg(*(F.count_if(F.col(f"r{n}") < k).alias(f"h{n}") for n in range(len(axes))))
-    sizes = gold.groupBy("query_id").agg(F.count("*").alias("n_gold"))
-    means = sizes.join(hits, "query_id", "left").agg(*(F.round(F.avg(F.coalesce(f"h{n}", F.lit(0)) / F.col("n_gold")), 6).alias(f"m{n}") for n in range(len(axes))))
-    each = F.explode(F.array(*(F.struct(F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"), F.col(f"m{n}").alias("recall")) for n, (k1, b) in enumerate(axes))))
-    return means.select(each.alias("x")).select("x.*")
+    run = sparse.grid(index, sparse.query_terms(queries), grid, k)
+    found = metrics.hits(run, gold).groupBy("k1", "b", "query_id").agg(F.count("*").alias("n"))
+    rows = _spread(gold.groupBy("query_id").agg(F.count("*").alias("n_gold")), grid).join(found, ["k1", "b", "query_id"], "left")
+    return rows.groupBy("k1", "b").agg(F.round(F.avg(F.coalesce("n", F.lit(0)) / F.col("n_gold")), 6).alias("recall"))
 
 
 def alphas(a: DataFrame, b: DataFrame, gold: DataFrame, queries: DataFrame, values: Sequence[float] = ALPHAS, k: int = TUNE_K) -> DataFrame:

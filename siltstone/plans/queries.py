@@ -210,12 +210,12 @@ def gold_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {Q.index(Q.TOKENS)} SELECT term, df, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 6) AS idf FROM terms, totals")
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.index(spark, sf_dir).idf().select("term", "df", F.round("idf", 6).alias("idf"))
+    return P.whole_index(spark, sf_dir).idf().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {Q.index(Q.TOKENS)} SELECT n_docs, round(mean_length, 6) AS mean_length, (SELECT count(*) FROM postings) AS n_postings, (SELECT count(*) FROM terms) AS n_terms FROM totals")
 def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = P.index(spark, sf_dir)
+    index = P.whole_index(spark, sf_dir)
     counts = index.terms.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"), F.count("*").alias("n_terms"))
     return index.totals.select("n_docs", F.round("mean_length", 6).alias("mean_length")).join(F.broadcast(counts))
 
@@ -614,7 +614,7 @@ def robustness_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = P.shared(named(changed, "none", "text").union(named(fixed, "restored", "restored")))
     plain, folded = T.folded_syllables("text"), named(changed.where("form = 'folded'"), "folded_index", "text")
     vectors = P.shared(dense.encode_queries(every.union(folded), dense.hashing_encoder()))
-    runs = {"bm25": sparse.search_index(P.index(spark, sf_dir), every, P.DEPTH, P.K1, P.B), "dense": dense.search(vectors, P.chunk_vectors(spark, sf_dir), P.DEPTH)}
+    runs = {"bm25": sparse.search_index(P.index_for(spark, sf_dir, every), every, P.DEPTH, P.K1, P.B), "dense": dense.search(vectors, P.chunk_vectors(spark, sf_dir), P.DEPTH)}
     runs = {name: P.shared(run) for name, run in runs.items()}
     alone = P.shared(sparse.search_index(P.index(spark, sf_dir, "folded"), folded, P.DEPTH, P.K1, P.B, plain))
     runs["fused"] = fusion.weighted(runs["bm25"], runs["dense"].where("query_id NOT LIKE '%|folded_index|%'"), 0.75, P.TOP)
@@ -633,8 +633,9 @@ def robustness_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def restore_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries that restoration gets wholly right or not, and hits lost and gained by searching with the restored form."""
     asked, gold = P.answerable(spark, sf_dir), P.gold(spark, sf_dir)
-    fixed = restoring.restored(asked.select("query_id", F.col("text").alias("truth"), T.folded("text").alias("text")), P.model(spark, sf_dir))
-    after = sparse.search_index(P.index(spark, sf_dir), fixed.select("query_id", F.col("restored").alias("text")), P.TOP, P.K1, P.B)
+    fixed = P.shared(restoring.restored(asked.select("query_id", F.col("text").alias("truth"), T.folded("text").alias("text")), P.model(spark, sf_dir)))
+    used = fixed.select("query_id", F.col("restored").alias("text"))
+    after = sparse.search_index(P.index_for(spark, sf_dir, used), used, P.TOP, P.K1, P.B)
     hits = metrics.hit_matrix({"before": P.word_run(spark, sf_dir, P.TOP), "after": after}, gold, asked)
     rows = hits.join(fixed.select("query_id", (F.col("restored") == F.col("truth")).alias("complete")), "query_id")
     return restoring.effect(rows.select("complete", (F.col("before") == 1).alias("before"), (F.col("after") == 1).alias("after")))
@@ -682,7 +683,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, docs = P.queries(spark, sf_dir), P.articles(spark, sf_dir)
     fixed = P.shared(restoring.restored(asked, P.model(spark, sf_dir)).select("query_id", "text", "restored"))
     used = fixed.select("query_id", F.col("restored").alias("text"))
-    return assistant.answers(asked, docs, P.index(spark, sf_dir), fixed, P.chunk_vectors(spark, sf_dir), dense.encode_queries(used, dense.hashing_encoder()))
+    return assistant.answers(asked, docs, P.index_for(spark, sf_dir, used), fixed, P.chunk_vectors(spark, sf_dir), dense.encode_queries(used, dense.hashing_encoder()))
 
 
 @query()
