@@ -44,12 +44,12 @@ class Best:
     """The first k rows of each group that a task has met, by score (falling, to some decimals) and then by id: a task
     hands on k rows of a group, however many it reads and however many of them tie."""
 
-    #: Rows that wait until they are sorted, beside four times those that can stay.
+    #: Rows that wait until they are sorted, beside twice those that can stay.
     WAITING = 200_000
 
     def __init__(self, groups: int, k: int, decimals: int = DECIMALS):
         self.k, self.decimals, self.slack = k, decimals, 2 * 10.0**-decimals
-        self.least, self.limit = np.full(groups, -np.inf), 4 * groups * k + self.WAITING
+        self.least, self.limit = np.full(groups, -np.inf), 2 * groups * k + self.WAITING
         self.parts: list[pa.Table] = []
         self.size = 0
 

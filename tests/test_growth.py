@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from siltstone.operators import metrics, ranking, restoring, sparse, tuning
+from siltstone.operators import dense, metrics, ranking, restoring, sparse, tuning
 
 
 def plan(df):
@@ -110,3 +110,43 @@ def test_a_model_for_stated_texts_restores_them_alike(spark):
     assert {(r.w1, r.w2): r.c for r in some.pairs.collect()} == {p: n for p, n in want.items() if p in beside}
     assert restoring.train(rows.where("false"), only=asked).totals.first() == (0, 0)
     assert math.isclose(restoring.pair_chances(whole).count(), len(want))
+
+
+def test_best_chunks_are_one_row_a_task_and_pair(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(400, 6)).round(2)
+    v[7], v[300] = v[5], v[5]
+    rows = [(k, k % 3, x.tolist() if k % 50 else None) for k, x in enumerate(v)] + [(900, 8, None), (901, 8, None)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, article_id int, vector array<double>").repartition(3)
+    queries = spark.createDataFrame([(f"q{k}", v[k].tolist()) for k in (5, 6, 11)], "query_id string, vector array<double>")
+    run = spark.createDataFrame([(f"q{q}", a) for q in (5, 6) for a in (0, 1, 2, 8, 9)], "query_id string, article_id int")
+    found = dense.best_chunks(queries, vectors, run)
+    want = set()
+    for q in (5, 6):
+        for a in (0, 1, 2):
+            s, c = min((-round(sum(x * y for x, y in zip(v[q].tolist(), r[2], strict=True)), 6), r[0]) for r in rows if r[1] == a and r[2])
+            want.add((f"q{q}", a, c, -s))
+        want |= {(f"q{q}", 8, 900, None), (f"q{q}", 9, None, None)}
+    assert {tuple(r) for r in found.collect()} == want
+    assert dense.best_chunks(queries.where("false"), vectors, run).count() == 0
+
+
+def test_nearest_hands_on_k_rows_of_a_task(spark):
+    v = np.ones((5000, 2))
+    vectors = spark.createDataFrame([(k, 0, x.tolist()) for k, x in enumerate(v)], "chunk_id long, article_id long, vector array<double>").coalesce(1)
+    found = dense.nearest(vectors.where("chunk_id = 3").select(F.col("chunk_id").alias("query_id"), "vector"), vectors, 7)
+    assert sorted(r.chunk_id for r in found.collect()) == list(range(7))
+
+
+def test_gold_of_many_copies_expands_once(spark):
+    groups = spark.createDataFrame([(k, "g") for k in range(2000)] + [(5000, "h")], "article_id long, dup_group string")
+    gold = spark.createDataFrame([("q", k) for k in range(2000)] + [("q", 7000), ("r", 5000)], "query_id string, article_id long")
+    found = metrics.expanded_gold(gold, groups)
+    assert sorted(tuple(r) for r in found.collect()) == sorted([*(("q", k) for k in range(2000)), ("q", 7000), ("r", 5000)])
+
+
+def test_the_encoder_forgets_words_without_changing_vectors(monkeypatch):
+    texts = ["a b a", "c", "", "A c d e f"]
+    want = dense.hashing_encoder(16)(texts)
+    monkeypatch.setattr(dense, "WORDS_KEPT", 1)
+    assert (dense.hashing_encoder(16)(texts) == want).all()
