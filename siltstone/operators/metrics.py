@@ -107,5 +107,8 @@ def expanded_gold(gold: DataFrame, groups: DataFrame) -> DataFrame:
     """Gold with all duplicates of each gold article. groups: article_id, dup_group; an unknown article keeps itself."""
     groups = groups.select("article_id", "dup_group")
     twins = groups.select(F.col("article_id").alias("twin"), "dup_group")
-    rows = gold.select("query_id", "article_id").join(groups, "article_id", "left").join(twins, "dup_group", "left")
-    return rows.select("query_id", F.coalesce("twin", "article_id").alias("article_id")).distinct()
+    rows = gold.select("query_id", "article_id").join(groups, "article_id", "left")
+    # once for each group of a query, for a group of n copies that are all gold would make n * n rows
+    whole = rows.where("dup_group IS NOT NULL").select("query_id", "dup_group").distinct().join(twins, "dup_group")
+    alone = rows.where("dup_group IS NULL").select("query_id", "article_id")
+    return whole.select("query_id", F.col("twin").alias("article_id")).union(alone).distinct()

@@ -499,7 +499,8 @@ def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, chunk_no) = 1""")
 def positive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = P.gold(spark, sf_dir)
-    docs = P.articles(spark, sf_dir).withColumn("title", F.col("document")).join(gold.select("article_id").distinct(), "article_id", "left_semi")
+    first = gold.groupBy("query_id").agg(F.min("article_id").alias("article_id")).select("article_id").distinct()  # one a query at most
+    docs = P.articles(spark, sf_dir).withColumn("title", F.col("document")).join(F.broadcast(first), "article_id", "left_semi")
     return splitting.positives(gold, P.queries(spark, sf_dir), chunking.chunks(docs), T.tokens("text"), T.tokens("text"))
 
 
