@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from siltstone.operators import dense, metrics, ranking, restoring, sparse, tuning
+from siltstone.operators import audit, dense, metrics, ranking, restoring, sparse, splitting, tuning
 
 
 def plan(df):
@@ -150,3 +150,19 @@ def test_the_encoder_forgets_words_without_changing_vectors(monkeypatch):
     want = dense.hashing_encoder(16)(texts)
     monkeypatch.setattr(dense, "WORDS_KEPT", 1)
     assert (dense.hashing_encoder(16)(texts) == want).all()
+
+
+def test_hashed_grams_are_as_many_as_grams():
+    rng = random.Random(8)
+    lists = [[rng.randrange(-3, 3) for _ in range(rng.randrange(9))] for _ in range(60)]
+    grams, sizes = audit._hashed_grams(pa.array(lists, pa.list_(pa.int64())), 3)
+    sets = [{tuple(x[k : k + 3]) for k in range(len(x) - 2)} if len(x) >= 3 else {tuple(x)} - {()} for x in lists]
+    assert sizes.tolist() == [len(s) for s in sets] and len(set(grams.tolist())) == len(set().union(*sets))
+
+
+def test_split_without_a_join(spark):
+    ids = spark.createDataFrame([(k,) for k in range(57)], "query_id long")
+    rows = splitting.with_split(ids, ids)
+    assert "Join" not in plan(rows)
+    assert sorted(rows.collect()) == sorted(splitting.split_queries(ids).collect())
+    assert [r.split for r in splitting.with_split(ids.limit(1), ids.limit(1)).collect()] == ["train"]
